@@ -122,9 +122,10 @@ def repeated(symbols: np.ndarray, length: int) -> np.ndarray:
                 keep = symbol != 0
                 owner, place, symbol = owner[keep], place[keep], symbol[keep]
             if len(place):
-                to = back[place]
-                by = np.argsort(to)
-                to, owner, symbol = to[by], owner[by], symbol[by]
+                packed = (back[place] << 21) | np.arange(len(place))
+                packed.sort()
+                to, by = packed >> 21, packed & ((1 << 21) - 1)
+                owner, symbol = owner[by], symbol[by]
                 cut = np.flatnonzero((to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])) + 1
                 na.append(to[np.append(0, cut)])
                 nb.append(to[np.append(cut - 1, len(to) - 1)] + 1)
