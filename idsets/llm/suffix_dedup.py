@@ -260,15 +260,15 @@ def removed_bytes(spans: list[dict] | None, length: int) -> list[tuple[int, int]
 
 
 def dedup(docs: DataFrame, length: int = 400, columns: tuple[str, ...] = ("doc_id",), hot: int = HOT, texts: bool = True) -> DataFrame:
-    """`columns` of each row, with n_bytes, n_removed, n_spans and kept_sha256 of its text and, if texts, what is kept of it (bytes).
+    """`columns` of each row, with n_bytes, n_removed, n_spans and kept_sha256 of its text and, if texts, what is kept of it.
 
-    Removal may cut within a character, so what is kept is binary.
+    Removal may cut within a character; the digest is of all bytes that are left, the text lacks those of such characters.
     """
     kinds = dict(docs.dtypes)
     names = {c: f"c{k}" for k, c in enumerate(columns)}
     rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.coalesce("text", F.lit("")).alias("text"), *hashes_of("text"))
     found = repeats(docs, length, hot)
-    schema = ", ".join([*(f"{n} {kinds[c]}" for c, n in names.items()), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", *["kept binary"] * texts])
+    schema = ", ".join([*(f"{n} {kinds[c]}" for c, n in names.items()), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", *["kept string"] * texts])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -280,9 +280,9 @@ def dedup(docs: DataFrame, length: int = 400, columns: tuple[str, ...] = ("doc_i
                     gone = removed_bytes(spans, length)
                     own = raw[a:b]
                     kept = b"".join([own[x:y] for x, y in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), b - a])]) if gone else own
-                    for c, v in zip(out, (b - a, b - a - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept)):
+                    for c, v in zip(out, (b - a, b - a - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode('utf-8', 'ignore'))):
                         c.append(v)
-                kept_columns = [pa.array(c, t) for c, t in zip(out[: 4 + texts], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+                kept_columns = [pa.array(c, t) for c, t in zip(out[: 4 + texts], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names.values()), *kept_columns], [*names.values(), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts])
 
     out = rows.join(found, ["k1", "k2"], "left").drop("k1", "k2").mapInArrow(apply, schema)
