@@ -1,16 +1,16 @@
-"""What the operators of this subpackage share: tables, the shared folder, splits and slices of Arrow batches."""
+"""What the operators of this subpackage share: tables, names, splits and slices of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from idsets.plans.storage import scratch, shared_dir, written  # noqa: F401
+
 #: Bytes of text that one vectorised step handles at once; a longer text is a step of its own.
 SLICE_BYTES = 2 << 20
 
@@ -24,25 +24,11 @@ def split_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a local one where that is unset (one-machine runs)."""
-    sc = spark.sparkContext
-    if (path := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()) is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="idsets-"))
-        path = sc.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: later plans start there, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def aside(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but `own` under names that no operator uses, and what gives a result of it the columns of docs again."""
+    names = {c: c if c in own else f"__c{k}" for k, c in enumerate(docs.columns)}
+    moved = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    return moved, lambda df: df.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

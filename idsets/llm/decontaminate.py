@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import powers, slices, text_bytes, written
+from .common import aside, powers, slices, text_bytes, written
 
 #: Bytes of item texts in a block.
 BLOCK_BYTES = 8 << 20
@@ -232,5 +232,5 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a hit."""
-    names = tuple(docs.columns)
-    return contamination(docs, benchmark, columns=names).filter(F.size("items") == 0).select(*names)
+    moved, back = aside(docs, "text")
+    return back(contamination(moved, benchmark, columns=tuple(moved.columns)).filter(F.size("spans") == 0))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_of
+from .common import aside, split_of
 from .text_stats import SYMBOLS, UPPER, count_of, with_words
 
 SAMPLE = 20_000
@@ -197,6 +197,5 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are predicted 1."""
-    names = tuple(docs.columns)
-    out = scored(docs, fit(docs, labels), (*names,))
-    return out.filter("predicted = 1").select(*names)
+    moved, back = aside(docs, "text")
+    return back(scored(moved, fit(docs, labels), tuple(moved.columns)).filter("predicted = 1"))

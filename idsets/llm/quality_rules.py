@@ -89,7 +89,7 @@ def _values() -> dict[str, Column]:
         "repeated_lines": share(F.col("n_dup_lines"), F.col("__n_lines")),
         "repeat_words": share(F.col("n_repeat_words"), n),
         # longer texts repeat more of their words: about half of a power of the length is usual
-        "same_words": share(1 - F.col("__n_different") / n, F.log10(n + 10) / 2),
+        "same_words": share(1 - F.col("__n_different") / F.greatest(n, F.lit(1)), F.log10(n + 10) / 2),
         "word_length": share(chars, n),
         "plain": share(F.col("n_symbols"), n) + F.col("__n_upper") / F.greatest(chars, F.lit(1)) / 10,
         "open_lines": share(F.col("__n_open"), F.col("__n_lines")),

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import aside, slices, written
 
 BITS = 64
 #: Node pairs that a step of the traversal handles at once.
@@ -205,7 +205,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, but of each component only that with the least doc_id; of rows with one doc_id, the first by text. Rows without a doc_id stay."""
+    moved, back = aside(docs, "doc_id", "text")
     kept = near_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    own = docs.join(kept, docs.doc_id == kept.kept_id, "left_semi").withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
-    return own.unionByName(docs.filter("doc_id IS NULL"))
+    own = moved.join(kept, moved.doc_id == kept.kept_id, "left_semi").withColumn("rank", rank).filter("rank = 1").drop("rank")
+    return back(own.unionByName(moved.filter("doc_id IS NULL")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, written
+from .common import aside, slices, text_bytes, written
 
 GRAM = 32
 #: Bytes of a batch for the transform; ranks and places of this many fit 21 bits each.
@@ -289,6 +289,15 @@ def dedup(docs: DataFrame, length: int = 400, columns: tuple[str, ...] = ("doc_i
     return out.select(*(F.col(n).alias(c) for c, n in names.items()), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts)
 
 
+def without_repeats(docs: DataFrame, length: int = 400, chars: str = "n_chars") -> DataFrame:
+    """docs with what is kept of their texts (null texts: empty), and the column `chars`, if there is one, as long as a changed text. All rows stay."""
+    moved, back = aside(docs, "doc_id", "text", chars)
+    kept = dedup(moved, length, tuple(c for c in moved.columns if c != "text"))
+    if chars in moved.columns:
+        kept = kept.withColumn(chars, F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col(chars)).cast(moved.schema[chars].dataType))
+    return back(kept.withColumn("text", F.col("kept")))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """The bytes, removed bytes, removed runs and a digest of what is kept of each document."""
     return dedup(docs, texts=False)
