@@ -36,15 +36,18 @@ def positional_id(term: Column) -> Column:
 
 
 def fnv1a_id(id_: Column) -> Column:
-    """FNV-1a over the id's eight bytes, the lowest first."""
-    h = F.lit(FNV_BASIS - (1 << 64)).cast("bigint")
-    for k in range(8):
-        x = h.bitwiseXOR(F.shiftrightunsigned(id_, 8 * k).bitwiseAND(F.lit(255).cast("bigint")))
-        # x * 2**40 only reaches the high limb, with 24 bits of x
-        low = x.bitwiseAND(F.lit(_LOW)) * F.lit(FNV_PRIME & 0xFFFFFFFF).cast("bigint")
-        high = F.shiftrightunsigned(x, 32) * F.lit(FNV_PRIME & 0xFFFFFFFF).cast("bigint") + F.shiftrightunsigned(low, 32) + F.shiftleft(x.bitwiseAND(F.lit((1 << 24) - 1)), 8)
-        h = _join(high, low)
-    return h
+    """FNV-1a over the id's eight bytes, the lowest first. A fold, as each step uses the one before several times."""
+
+    def step(h: Column, byte: Column) -> Column:
+        x = h.bitwiseXOR(byte)
+        factor = F.lit(FNV_PRIME & _LOW).cast("bigint")
+        low = x.bitwiseAND(F.lit(_LOW)) * factor
+        # x * 2**40 reaches the high limb alone, with 24 bits of x
+        high = F.shiftrightunsigned(x, 32) * factor + F.shiftrightunsigned(low, 32) + F.shiftleft(x.bitwiseAND(F.lit((1 << 24) - 1)), 8)
+        return _join(high, low)
+
+    raw = F.array(*(F.shiftrightunsigned(id_, 8 * k).bitwiseAND(F.lit(255).cast("bigint")) for k in range(8)))
+    return F.aggregate(raw, F.lit(FNV_BASIS - (1 << 64)).cast("bigint"), step)
 
 
 def fnv1a(raw: bytes) -> int:

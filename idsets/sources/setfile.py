@@ -44,8 +44,8 @@ def decode(raw: bytes) -> np.ndarray:
     return ids
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(set_name, id, error) of the files of a path or folder: a file's stem is its set's name. A bad file gives one row with its error and no id."""
+def read_files(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """(set_name, id, error) of the files of a path or folder: a file's stem is its set's name. A bad file gives one row with its error and no id, or raises if strict."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(path).select("path", "content")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,6 +55,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     ids, error = decode(raw).view("<i8"), None
                 except ValueError as e:
+                    if strict:
+                        raise ValueError(f"{name}: {e}") from None
                     ids, error = np.zeros(1, "<i8"), str(e)
                 step = 1 << 20
                 for k in range(0, max(len(ids), 1), step):
@@ -67,9 +69,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_set(spark: SparkSession, path: str) -> IdSet:
     """The set of one file; raises if the file is bad."""
-    rows = read_files(spark, path)
-    checked = F.when(F.col("error").isNull(), F.col("id")).otherwise(F.raise_error(F.concat(F.col("set_name"), F.lit(": "), F.col("error"))).cast("bigint"))
-    return IdSet(rows.select(checked.alias("id")))
+    return IdSet(read_files(spark, path, strict=True).select("id"))
 
 
 def write_set(ids: IdSet, path: str) -> None:
