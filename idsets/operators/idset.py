@@ -23,9 +23,12 @@ def signed(id_: int) -> int:
 class IdSet:
     """Each operation returns a new set; none runs a job but count, has, ids and choose."""
 
-    def __init__(self, df: DataFrame):
-        """df: column id, distinct and without nulls. See from_column where that isn't so yet."""
-        self.df = df
+    def __init__(self, df: DataFrame, origin: tuple[DataFrame, str, Column] | None = None):
+        """df: column id, distinct and without nulls. See from_column where that isn't so yet.
+
+        origin: the table, key and predicate that the set is a facet of, if the key is unique there; facets of one table combine without a join.
+        """
+        self.df, self.origin = df, origin
 
     # building
 
@@ -39,7 +42,14 @@ class IdSet:
     @classmethod
     def facet(cls, df: DataFrame, predicate: Column | str, id_column: str, unique: bool = False) -> IdSet:
         """The ids of the rows for which a predicate holds; predicate and column reach the scan."""
-        return cls.from_column(df.filter(predicate), id_column, unique)
+        test = F.expr(predicate) if isinstance(predicate, str) else predicate
+        return cls(cls.from_column(df.filter(test), id_column, unique).df, (df, id_column, test) if unique else None)
+
+    def _same_table(self, other: IdSet) -> bool:
+        return self.origin is not None and other.origin is not None and self.origin[0] is other.origin[0] and self.origin[1] == other.origin[1]
+
+    def _refaceted(self, predicate: Column) -> IdSet:
+        return IdSet.facet(self.origin[0], predicate, self.origin[1], unique=True)
 
     @classmethod
     def of(cls, spark: SparkSession, ids: Iterable[int]) -> IdSet:
@@ -85,8 +95,16 @@ class IdSet:
     # algebra
 
     def intersect(self, *others: IdSet) -> IdSet:
-        """The ids in all the sets, by semi-joins; inputs are distinct, so no aggregate follows."""
-        return IdSet(reduce(lambda a, b: a.join(b.df, "id", "left_semi"), others, self.df))
+        """The ids in all the sets, by semi-joins; inputs are distinct, so no aggregate follows. Facets of one table become one filter of it."""
+        sets: list[IdSet] = []
+        for s in (self, *others):
+            at = next((k for k, x in enumerate(sets) if x._same_table(s)), None)
+            if at is None:
+                sets.append(s)
+            else:
+                sets[at] = sets[at]._refaceted(sets[at].origin[2] & s.origin[2])
+        first, *rest = sets
+        return IdSet(reduce(lambda a, b: a.join(b.df, "id", "left_semi"), rest, first.df), None if rest else first.origin)
 
     def intersect_dense(self, *others: IdSet) -> IdSet:
         """The same by bitmaps: shuffles a row for each 32,768 ids that lie together instead of the ids."""
@@ -102,10 +120,18 @@ class IdSet:
         return first.intersect(*rest)
 
     def union(self, *others: IdSet) -> IdSet:
+        if others and all(self._same_table(s) for s in others):
+            return self._refaceted(reduce(lambda p, s: p | s.origin[2], others, self.origin[2]))
         return IdSet(reduce(lambda a, b: a.unionByName(b), (s.df for s in others), self.df).distinct()) if others else self
 
     def difference(self, *others: IdSet) -> IdSet:
-        return IdSet(reduce(lambda a, b: a.join(b.df, "id", "left_anti"), others, self.df))
+        out = self
+        for s in others:
+            if out._same_table(s):
+                out = out._refaceted(out.origin[2] & ~F.coalesce(s.origin[2], F.lit(False)))
+            else:
+                out = IdSet(out.df.join(s.df, "id", "left_anti"))
+        return out
 
     def filter(self, mask: IdSet) -> IdSet:
         return self.intersect(mask)

@@ -68,7 +68,7 @@ _LONG = f"SELECT 'urgent' AS set_name, id FROM ({_URGENT}) UNION ALL SELECT 'lar
 
 @query(f"SELECT id FROM ({_THREE})")
 def facet_intersect(spark, sf_dir):
-    """urgent and large are projections of one table with one key: a filter of either is enough to semi-join once."""
+    """urgent and large are facets of one table: one filter of it, and one semi-join."""
     f = facets(spark, sf_dir)
     return f["urgent"].intersect(f["large"], f["returned"]).df
 

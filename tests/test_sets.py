@@ -59,6 +59,16 @@ def test_unsigned_edges(spark):
         signed(1 << 64)
 
 
+def test_facets_of_one_table_combine(spark):
+    rows = spark.createDataFrame([(1, 1, None), (2, 1, 1), (3, 0, 1), (4, None, 0), (None, 1, 1)], "id bigint, a int, b int")
+    a, b = (IdSet.facet(rows, f"{c} = 1", "id", unique=True) for c in "ab")
+    other = of(spark, 1, 2)
+    plan = lambda s: s.df._jdf.queryExecution().executedPlan().toString()
+    for got, want in ((a.intersect(b), [2]), (a.union(b), [1, 2, 3]), (a.difference(b), [1]), (b.difference(a), [3])):
+        assert got.ids() == want and "Join" not in plan(got) and "Exchange" not in plan(got)
+    assert a.intersect(other, b).ids() == [2] and a.union(other).ids() == [1, 2] and a.difference(b, other).ids() == []
+
+
 def test_nulls_are_no_ids(spark):
     rows = spark.createDataFrame([(1,), (None,), (1,)], "id bigint")
     assert IdSet.from_column(rows).ids() == [1]
