@@ -32,6 +32,23 @@ def count(bitmap: DataFrame) -> DataFrame:
     return bitmap.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).cast("bigint").alias("n"))
 
 
+def words(ids: DataFrame) -> DataFrame:
+    """(word_idx, word): 64 ids a row, for sets that are cut into ranges of words."""
+    index = F.shiftrightunsigned("id", 6)
+    bit = F.expr("shiftleft(1L, CAST(id & 63 AS int))")
+    return ids.groupBy(index.alias("word_idx")).agg(F.bit_or(bit).alias("word"))
+
+
+def and_words(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The words of both sets, those without a common id left out."""
+    other = b.select("word_idx", F.col("word").alias("other"))
+    return a.join(other, "word_idx").select("word_idx", F.col("word").bitwiseAND(F.col("other")).alias("word")).filter("word <> 0")
+
+
+def count_words(table: DataFrame) -> DataFrame:
+    return table.agg(F.coalesce(F.sum(F.bit_count("word").cast("bigint")), F.lit(0)).alias("n"))
+
+
 def extract(bitmap: DataFrame) -> DataFrame:
     """The ids of the set bits."""
 

@@ -71,3 +71,8 @@ def remapped(ids: DataFrame, before: Ring, after: Ring, column: str = "id") -> D
     """total and moved: the ids whose owner differs. Both routes are found in one pass."""
     both = after.route(before.route(ids, column, "old"), column, "new")
     return both.agg(F.count("*").alias("total"), F.sum((F.col("old") != F.col("new")).cast("bigint")).alias("moved"))
+
+
+def shard_owners(spark, shards: int, ring: Ring) -> DataFrame:
+    """(shard, owner) of shards 0 .. shards - 1."""
+    return ring.route(spark.range(shards).withColumnRenamed("id", "shard"), "shard")

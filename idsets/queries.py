@@ -11,7 +11,7 @@ from idsets.functions import hashing, unsigned
 from idsets.operators import bitmaps, terms
 from idsets.operators.dictionary import Index, Keyer
 from idsets.operators.idset import IdSet
-from idsets.operators.ring import Ring, balance, max_share, remapped
+from idsets.operators.ring import Ring, balance, max_share, remapped, shard_owners
 from idsets.operators.sharding import Shape, ShardedSet
 from idsets.plans import planner
 from idsets.plans.storage import scratch
@@ -272,6 +272,17 @@ def plan_choice(spark, sf_dir):
     return rows.select("*", planner.dense_column(F.col("k"), F.col("universe"), F.col("total")).alias("dense"))
 
 
+@query(f"SELECT count(*) AS n FROM ({_URGENT} INTERSECT {_RETURNED})")
+def word_intersect_count(spark, sf_dir):
+    f = facets(spark, sf_dir)
+    return bitmaps.count_words(bitmaps.and_words(bitmaps.words(f["urgent"].df), bitmaps.words(f["returned"].df)))
+
+
+@query(f"SELECT id // 64 AS word_idx, count(*) AS n FROM ({_RETURNED}) GROUP BY 1")
+def word_counts(spark, sf_dir):
+    return bitmaps.words(facets(spark, sf_dir)["returned"].df).select("word_idx", F.bit_count("word").cast("bigint").alias("n"))
+
+
 # shards
 
 _BITS = SHAPE.bits
@@ -307,10 +318,10 @@ def _points(ring: Ring) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"({p}::HUGEINT, '{n}')" for p, n in ring.points) + ") AS v(point, node)"
 
 
-def _owners(ring: Ring) -> str:
+def _owners(ring: Ring, ids: str = "SELECT c_custkey AS id FROM customer") -> str:
     steps = f"list_reduce(list_prepend({hashing.FNV_BASIS}::HUGEINT, list_transform(range(8), lambda k: ((id >> (8 * k)::INT) & 255)::HUGEINT)), lambda h, b: (xor(h, b) * {hashing.FNV_PRIME}) % {_HUGE})"
     first = min(ring.points)[1]
-    return f"SELECT id, coalesce((SELECT arg_min(node, point) FROM ({_points(ring)}) WHERE point >= h), '{first}') AS owner FROM (SELECT id, {steps} AS h FROM (SELECT c_custkey AS id FROM customer))"
+    return f"SELECT id, coalesce((SELECT arg_min(node, point) FROM ({_points(ring)}) WHERE point >= h), '{first}') AS owner FROM (SELECT id, {steps} AS h FROM ({ids}))"
 
 
 _RING, _MORE = Ring(list(NODES)), Ring([*NODES, "node-d"])
@@ -340,6 +351,20 @@ def ring_remap(spark, sf_dir):
     return remapped(_customers(spark, sf_dir), _RING, _MORE)
 
 
+_SHARDS = "SELECT unnest(range(12))::BIGINT AS id"
+
+
+@query(f"SELECT owner, count(*) AS n FROM ({_owners(_RING, _SHARDS)}) GROUP BY owner")
+def shards_per_node(spark, sf_dir):
+    return balance(shard_owners(spark, 12, _RING))
+
+
+@query(f"SELECT a.id AS shard, a.owner AS before, b.owner AS after FROM ({_owners(_RING, _SHARDS)}) a JOIN ({_owners(_MORE, _SHARDS)}) b USING (id) WHERE a.owner <> b.owner")
+def moved_shards(spark, sf_dir):
+    both = _MORE.route(shard_owners(spark, 12, _RING), "shard", "after")
+    return both.filter("owner <> after").select("shard", F.col("owner").alias("before"), "after")
+
+
 # terms
 
 _ENTRIES = "SELECT p_partkey AS ordinal, p_partkey % 50 AS term_id, [p_size::BIGINT, (p_partkey * 7) % 200] AS synonyms FROM part"
