@@ -17,6 +17,7 @@ text (lang where it learns) play no part.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -90,7 +91,7 @@ class KneserNey:
     """Sorted hash arrays of all languages' models."""
 
     def __init__(self, counts: dict[str, Counter]):
-        self.langs = sorted(counts)
+        self.langs, self.key = sorted(counts), uuid.uuid4().hex
         size = len(self.langs)
         alphabet = {c for words in counts.values() for w in words for c in w}
         self.base = 1.0 / (len(alphabet) + 2)  # the end mark, and one for all others
@@ -174,7 +175,7 @@ def _entropies(docs: DataFrame, model: KneserNey, columns: tuple[str, ...]) -> D
         return list(map(tuple, out.tolist()))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = str(id(shared.value))
+        key = shared.value.key
         if key not in _own:
             _own.clear()
             _own[key] = ChunkCache(encode, CACHE)
