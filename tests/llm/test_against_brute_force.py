@@ -123,6 +123,32 @@ def test_simhash(corpus, hot, monkeypatch):
         assert (got[doc_id].fingerprint, got[doc_id].component_id) == (f"{expected[k]:016x}", rows[roots[k]][0])
 
 
+def test_one_of_each_finds_edited_copies(spark):
+    """Edits of one text in places spread over it, alike to 0.7 to 0.95 by five-word shingles, against all pairs."""
+    r = random.Random(12)
+    texts = []
+    for k in range(25):
+        words = prose(r, 200).split(" ")
+        texts.append(" ".join(words))
+        for m in range(4):
+            edited = list(words)
+            for at in r.sample(range(len(words)), 1 + (k + m) % 7):
+                edited[at] = f"edit{k}x{m}x{at}"
+            texts.append(" ".join(edited))
+    texts += [texts[3].upper(), "", " ", "Two words", "two  words", "two other words"]
+
+    def of(text):
+        w = text.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [of(t) for t in texts]
+    near = np.array([[len(x & y) / len(x | y) >= 0.8 for y in sets] for x in sets])
+    roots = brute_roots(near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.alike_components(docs).collect()} == dict(enumerate(roots.tolist()))
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(set(roots.tolist()))
+
+
 def test_components_of_a_chain(spark):
     pairs = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90)], "a bigint, b bigint")
     assert {(r.node, r.root) for r in simhash.components(pairs).collect()} == {(k, 0) for k in range(1, 41)} | {(100, 90)}
