@@ -7,8 +7,8 @@ The tables are sorted arrays of n-gram hashes with a row of values for all langu
 the lowest cross-entropy for a character; the score is its posterior probability at a temperature that is fitted on
 documents kept out of the counts, and `rejected` says that the cross-entropy is beyond what those show.
 
-Models come from a bounded sample of the labelled rows: about `sample` documents of a language, chosen by hash; that is the
-parameter of the fit. All rows are scored over whole texts, each different word of a worker's texts once.
+Models come from a bounded sample of the labelled rows: about `sample` documents of a language, chosen by hash, and all of a language with fewer; that is the
+parameter of the fit. Every lang of a labelled row with a letter has a model, however rare it is. All rows are scored over whole texts, each different word of a worker's texts once.
 
 Null texts and texts without a letter are `und` with score 0; equal cross-entropies go to the first language by name;
 a null lang teaches nothing; without a labelled row all texts are `und`; repeated rows each get their result; columns beside doc_id and
@@ -33,8 +33,6 @@ from .common import slices, split_of, text_bytes
 ORDER = 5
 #: Documents of a language in the fit, about.
 SAMPLE = 600
-#: A language with fewer labelled rows than this share of them isn't one.
-LEAST_SHARE = 1e-4
 START, END = "\x02", "\x03"
 CACHE = 400_000
 NONE = "und"
@@ -199,14 +197,11 @@ def fit(docs: DataFrame, learn: F.Column, sample: int = SAMPLE) -> tuple[KneserN
     """The model, its temperature and each language's largest usual cross-entropy, from the rows of docs for which learn holds and lang isn't null."""
     labelled = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
-    sizes = {k: n for k, n in sizes.items() if n >= LEAST_SHARE * sum(sizes.values())}
     if not sizes:
         return None
-    share = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, sample / n)) for lang, n in sorted(sizes.items())], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(1 << 20)
-    drawn = labelled.filter(draw < share).select("doc_id", "text", "lang", (F.pmod(F.xxhash64("text"), F.lit(8)) == 0).alias("apart"))
+    drawn = labelled.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("doc_id", "text", "lang", (F.pmod(F.xxhash64("text"), F.lit(8)) == 0).alias("apart"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -225,8 +220,11 @@ def fit(docs: DataFrame, learn: F.Column, sample: int = SAMPLE) -> tuple[KneserN
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
     counts: dict[str, Counter] = {}
-    few = drawn.count() < 40
-    for r in drawn.filter(F.lit(few) | ~F.col("apart")).mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():  # the words of the sample
+    parts = drawn.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("apart").alias("apart")).collect()
+    few = sum(r.n for r in parts) < 40
+    # a language whose rows are all kept apart learns from them too
+    taught = F.lit(few) | ~F.col("apart") | F.col("lang").isin([r.lang for r in parts if r.n == r.apart])
+    for r in drawn.filter(taught).mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():  # the words of the sample
         counts.setdefault(r.lang, Counter())[r.word] = r.n
     if not counts:
         return None

@@ -4,6 +4,7 @@ import html
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from idsets.llm import html_text, language_id, license_scan, quality_classifier, queries
 
@@ -34,6 +35,20 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_rare_languages_are_learned(spark):
+    """Languages of one row in 20,000; the texts of some are kept apart by their hash."""
+    alphabets = {f"x{k}": "".join(chr(0x1000 + 100 * k + c) for c in range(20)) for k in range(16)}
+    alphabets = {lang: "".join(c for c in a if c.isalpha()) for lang, a in alphabets.items()}
+    alphabets = {lang: a for lang, a in alphabets.items() if len(a) >= 10}
+    rows = [(k, f"plain words number {k % 97} again", "en") for k in range(20_000)]
+    rows += [(20_000 + k, f"{a} {a[::-1]} {a[::2]}", lang) for k, (lang, a) in enumerate(alphabets.items())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    fitted = language_id.fit(docs, F.lit(True))
+    assert len(alphabets) >= 8 and fitted[0].langs == sorted(["en", *alphabets])
+    got = language_id.identify(docs.filter("lang <> 'en'"), fitted, ("lang",)).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
 def test_language_probabilities_sum_to_one():
     from collections import Counter
 
