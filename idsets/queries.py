@@ -24,7 +24,7 @@ _URGENT = "SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderpriority =
 _LARGE = "SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_totalprice >= 100000"
 _RETURNED = "SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R'"
 _THREE = f"{_URGENT} INTERSECT {_LARGE} INTERSECT {_RETURNED}"
-#: The shape of the sharded queries, the nodes of the ring and the phrase's place: parameters.
+#: The shape of the sharded queries (its universe grows with greater ids), the nodes of the ring and the phrase's place: parameters.
 SHAPE = Shape(1 << 20, 8)
 NODES = ("node-a", "node-b", "node-c")
 
@@ -290,25 +290,36 @@ _COUNTS = f"SELECT s.shard AS shard, coalesce(n, 0)::BIGINT AS n FROM (SELECT un
 _MODES = f"SELECT shard, n, CASE WHEN n < {SHAPE.sparse_below} THEN 'sparse' ELSE 'dense' END AS mode FROM ({_COUNTS})"
 
 
+def sharded(*sets: IdSet) -> list[ShardedSet]:
+    """The sets over SHAPE's shards, whose universe reaches to the greatest id of all of them where that is beyond SHAPE's; the SQL holds for SHAPE's own universe."""
+    every = sets[0].df
+    for s in sets[1:]:
+        every = every.unionByName(s.df)
+    greatest = every.agg(F.max("id")).first()[0]
+    shape = Shape(max(SHAPE.universe, (greatest or 0) + 1), SHAPE.shards)
+    return [ShardedSet(s, shape) for s in sets]
+
+
 @query(_COUNTS)
 def shard_counts(spark, sf_dir):
-    return ShardedSet(facets(spark, sf_dir)["returned"], SHAPE).counts()
+    return sharded(facets(spark, sf_dir)["returned"])[0].counts()
 
 
 @query(_MODES)
 def shard_modes(spark, sf_dir):
-    return ShardedSet(facets(spark, sf_dir)["returned"], SHAPE).modes()
+    return sharded(facets(spark, sf_dir)["returned"])[0].modes()
 
 
 @query(f"SELECT shard, mode, (CASE WHEN mode = 'sparse' THEN n * 8 ELSE {-(-_BITS // 64) * 8} END)::BIGINT AS bytes FROM ({_MODES})")
 def shard_bytes(spark, sf_dir):
-    return ShardedSet(facets(spark, sf_dir)["returned"], SHAPE).bytes()
+    return sharded(facets(spark, sf_dir)["returned"])[0].bytes()
 
 
 @query(f"SELECT count(*) AS n FROM ({_URGENT} INTERSECT {_RETURNED}) WHERE id < {_BITS * SHAPE.shards}")
 def shard_intersect_count(spark, sf_dir):
     f = facets(spark, sf_dir)
-    return ShardedSet(f["urgent"], SHAPE).intersect_count(ShardedSet(f["returned"], SHAPE))
+    urgent, returned = sharded(f["urgent"], f["returned"])
+    return urgent.intersect_count(returned)
 
 
 # ring

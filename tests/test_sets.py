@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from idsets import queries
 from idsets.functions import hashing, unsigned
 from idsets.operators import bitmaps, terms
 from idsets.operators.dictionary import Index, Keyer
@@ -118,6 +119,17 @@ def test_shards(spark):
         Shape(0, 4)
 
 
+def test_sharded_queries_keep_ids_beyond_their_shape(spark, tmp_path):
+    keys = [0, 5, 1_048_575, 1_048_576, 9_000_000]
+    orders = [(k, "1-URGENT", 1.0) for k in keys]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(k, "R") for k in [*keys[1:], 9_000_001]], "l_orderkey bigint, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert [r.n for r in sorted(run("shard_counts"))] == [3, 0, 0, 0, 0, 0, 0, 2]
+    assert len(run("shard_modes")) == 8 and sum(r.bytes for r in run("shard_bytes")) == 5 * 8
+    assert run("shard_intersect_count")[0].n == 4
+
+
 def test_shard_modes(spark):
     ids = spark.range(10).union(spark.range(131_072, 181_072))
     own = ShardedSet(IdSet(ids), Shape(1 << 20, 8))
