@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (runs on one machine)."""
+    """spark.checkpoint.dir; where that is unset, the context's checkpoint folder, or on a local master a temporary one. Elsewhere it must be set."""
     sc = spark.sparkContext
     if (path := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()) is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them and the driver share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="idsets-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")
@@ -26,4 +28,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the path as it takes it)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for table in tables:
+        if path := table.__dict__.pop("_scratch", None):
+            fs, where = file_system(table.sparkSession, path)
+            fs.delete(where, True)
