@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idsets.plans.storage import scratch, shared_dir, written  # noqa: F401
+from idsets.plans.storage import discard, scratch, shared_dir, written  # noqa: F401
 
 #: Bytes of text that one vectorised step handles at once; a longer text is a step of its own.
 SLICE_BYTES = 2 << 20
@@ -62,3 +62,19 @@ def powers(base: int, n: int) -> np.ndarray:
     out[0] = 1
     with np.errstate(over="ignore"):
         return np.cumprod(out, dtype=np.uint64)
+
+
+_state: dict[object, object] = {}
+
+
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task for one operator and its parameters; another key takes its place, so that a worker holds one at a time."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
+def release() -> None:
+    """Drops what the worker keeps; for operators that need the memory and keep nothing."""
+    _state.clear()

@@ -4,23 +4,24 @@ Exact copies share a fingerprint, so the join works on the different fingerprint
 fingerprints with at most `budget` differing bits agree on all of b - budget of b blocks; for each choice of those, the
 fingerprints with these blocks in front form a trie, whose nodes below the common prefix are dealt out as groups. Within a group node
 pairs descend together, bit by bit; a pair's count of differing bits rises when it takes different sides, and a pair over the
-budget goes. Nodes are ranges of the sorted fingerprints. Groups over `hot` fingerprints are cut into
-chunks by a hash, and each pair of chunks is a group of its own, so no task gets an unbounded group. A group gives a forest of its
-links, not all pairs: as many rows as it has linked fingerprints.
+budget goes. Nodes are ranges of the sorted fingerprints. Nodes of over `hot` fingerprints are dealt out again by blocks of the bits that are still
+free, so no task gets an unbounded group. A group gives a forest of its links, not all pairs: fewer rows than it has fingerprints.
 
 Null and empty texts and texts of white space have the fingerprint zero and link like any other; repeated rows and rows of one
-doc_id each get their result; a component whose rows have no doc_id has a null component_id; a table without rows gives none; other columns play
-no part.
+doc_id each get their result; a component whose rows have no doc_id has a null component_id; equal texts tie in everything but their ids; very long texts are
+hashed by pieces of PIECE bytes; a table without rows gives none; other columns play no part.
 
-The stage of the pipeline (one_of_each) links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, which one fingerprint and
-3 bits don't reach. Its candidates are the links of the fingerprints and all pairs that share a band of minima of the shingles'
-hashes; each is checked with the shingles themselves. A first round checks for each text the least of its candidates, a second one all
-candidates that the first left in different components, so a group of copies costs as many checks as it has texts. Texts of the same words are one node, by a hash of 64 bits.
+The stage of the pipeline (one_of_each) links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, which 64 bits don't tell. It
+runs the same trie join on fingerprints of 1,024 bits: a similarity of 0.8 is a cosine of 0.889, an angle of 0.152 of a half turn, so 155 differing bits in the mean, with a deviation of 11.5. The fingerprints are
+dealt out by bands of minima of the shingles' hashes. Links of up to BUDGETS[0] bits count as they are (3 deviations: no pair under 0.8 is to be expected); those up to the last budget are checked with the shingles themselves if
+they would join two components. Links are taken in the order of the budgets, so that a forest holds the nearest ones. Texts of the same words are one node, by a hash of 64 bits.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -28,38 +29,73 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside, slices, written
+from .common import aside, discard, release, slices, written
 
 BITS = 64
 #: Node pairs that a step of the traversal handles at once.
 STEP = 1 << 18
 #: Rows of whole groups that one traversal takes together.
 TOGETHER = 1 << 17
+#: Bytes of a text that are hashed together.
+PIECE = 1 << 20
 #: The stage's shingles and least similarity; its bands, and the minima of each. Texts alike to 0.8 share no band once in 20,000 pairs.
 STAGE_WORDS, STAGE_LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
-_SEEDS = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+#: Words of the stage's fingerprints; the differing bits up to which links count, the first without a check.
+WIDE, BUDGETS = 16, (120, 136, 150, 164, 184)
+#: Texts that share a band beyond which they must share two.
+HOT_BAND = 4096
+_RANDOM = np.random.default_rng(7)
+_SEEDS = _RANDOM.integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+_WIDE = _RANDOM.integers(0, 1 << 64, (2, 1, WIDE), np.uint64)
+_WHITE = re.compile(rb"[ \t-\r]")
+
+
+def _blocks(raw: bytes, words: int) -> Iterator[tuple[bytes, list[int], list[int]]]:
+    """A text in lower case by pieces of about PIECE bytes that end at white space: its words joined by spaces, and the starts and ends of its shingles there. A text of under `words` words is one shingle; without words there is none."""
+    raw = raw.lower()  # on ASCII alone, as the split
+    begin, carry, some = 0, [], False
+    while begin < len(raw):
+        end = len(raw)
+        if begin + PIECE < end and (m := _WHITE.search(raw, begin + PIECE)):
+            end = m.start()
+        tokens = carry + raw[begin:end].split()
+        begin = end
+        if len(tokens) < words and (begin < len(raw) or some):
+            carry = tokens
+            continue
+        if tokens:
+            whole = b" ".join(tokens)
+            ends = [e - 1 for e in accumulate(len(t) + 1 for t in tokens)]
+            starts = [0, *(e + 1 for e in ends[:-1])]
+            yield whole, starts[: max(1, len(tokens) - words + 1)], ends[words - 1 :] or ends[-1:]
+            some = True
+        carry = tokens[len(tokens) - words + 1 :] if words > 1 else []
+    if carry and not some:
+        whole = b" ".join(carry)
+        yield whole, [0], [len(whole)]
+
+
+def hashes(text: str | None, words: int, seed: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, by pieces of the text."""
+    from xxhash import xxh64_intdigest
 
+    for whole, starts, ends in _blocks((text or "").encode("utf-8", "surrogatepass"), words):
+        yield np.array([xxh64_intdigest(whole[a:b], seed) for a, b in zip(starts, ends)], np.uint64)
 
-def shingles(text: str | None, words: int) -> list[bytes]:
-    """The text's runs of `words` words; the whole of a shorter text; none of a text without words."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both on ASCII alone
-    if not tokens:
-        return []
-    whole = b" ".join(tokens)
-    ends = [e - 1 for e in accumulate(len(t) + 1 for t in tokens)]
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    return [whole[a:b] for a, b in zip(starts, ends[words - 1 :])] or [whole]
 
+def majority(parts: Iterator[np.ndarray], size: int) -> np.ndarray:
+    """The words of a fingerprint: a bit is 1 if set in over half of the rows (hashes of `size` words)."""
+    ones, n = np.zeros(BITS * size, np.int64), 0
+    for rows in parts:
+        for k in range(0, len(rows), 4096):
+            ones += np.unpackbits(rows[k : k + 4096].view(np.uint8).reshape(-1, 8 * size), axis=1, bitorder="little").sum(0, dtype=np.int32)
+        n += len(rows)
+    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    from xxhash import xxh64_intdigest
 
-    hashes = np.array([xxh64_intdigest(s, 42) for s in shingles(text, words)], np.uint64)
-    if not len(hashes):
-        return 0
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+def fingerprint(text: str | None, words: int = 3) -> int:
+    return int(majority((h.reshape(-1, 1) for h in hashes(text, words, 42)), 1)[0])
 
 
 def fingerprints(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), words: int = 3) -> DataFrame:
@@ -75,18 +111,26 @@ def fingerprints(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), words:
     return docs.select(*columns, "text").mapInArrow(apply, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "fp bigint"]))
 
 
-def linked(keys: np.ndarray, spans: np.ndarray, depth: int, budget: int) -> np.ndarray:
-    """For each key the least number of a key in its linked set. spans: rows (a, a_end, b, b_end) of node pairs to start at, at `depth` bits; keys are sorted within each span."""
-    label = np.arange(len(keys))
+def linked(keys: np.ndarray, spans: np.ndarray, depth: int, budget: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(label, links): the least number of a key in the linked set of each key, and the pairs (rows) of a forest that links them.
+
+    keys: a row of 64-bit words each. spans: rows (a, a_end, b, b_end) of node pairs to start at, at `depth` bits; keys are sorted within each span. label: sets to go on from.
+    """
+    label = np.arange(len(keys)) if label is None else label
     zeros: dict[int, np.ndarray] = {}
-    own = [(depth, spans, np.zeros(len(spans), np.int8))]
+    own = [(depth, spans, np.zeros(len(spans), np.int16))]
+    found = [np.zeros((0, 2), np.int64)]
 
     def join(a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
             x, y = label[a], label[b]
             differ = x != y
             a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            order = np.lexsort((low, high))
+            first = order[np.append(True, high[order][1:] != high[order][:-1])] if len(order) else order
+            label[high[first]] = low[first]  # each root goes below one smaller root, by one link
+            found.append(np.stack([a[first], b[first]], 1))
             while (label[label] != label).any():
                 label[:] = label[label]
 
@@ -96,16 +140,20 @@ def linked(keys: np.ndarray, spans: np.ndarray, depth: int, budget: int) -> np.n
             own.append((d, s[STEP:], diff[STEP:]))
             s, diff = s[:STEP], diff[:STEP]
         single = (s[:, 1] - s[:, 0] == 1) & (s[:, 3] - s[:, 2] == 1)
-        if d == BITS or single.any():
-            leaf = single if d < BITS else np.ones(len(s), bool)
+        if d == BITS * keys.shape[1] or single.any():
+            leaf = single if d < BITS * keys.shape[1] else np.ones(len(s), bool)
             a, b = s[leaf, 0], s[leaf, 2]
-            near = (a != b) & (np.bitwise_count(keys[a] ^ keys[b]) <= budget)
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            near = np.bitwise_count(keys[a] ^ keys[b]).sum(1, dtype=np.int32) <= budget
             join(a[near], b[near])
             s, diff = s[~leaf], diff[~leaf]
         if not len(s):
             continue
         if d not in zeros:
-            zeros[d] = np.append(0, np.cumsum((keys >> np.uint64(BITS - 1 - d)) & np.uint64(1) ^ np.uint64(1))).astype(np.int64)
+            if len(zeros) >= BITS:
+                zeros.clear()
+            zeros[d] = np.append(0, np.cumsum((keys[:, d // BITS] >> np.uint64(BITS - 1 - d % BITS)) & np.uint64(1) ^ np.uint64(1))).astype(np.int64)
         z = zeros[d]
         a, ae, b, be = s.T
         am, bm = a + z[ae] - z[a], b + z[be] - z[b]
@@ -120,68 +168,93 @@ def linked(keys: np.ndarray, spans: np.ndarray, depth: int, budget: int) -> np.n
         s, diff = np.concatenate(out), np.concatenate(outdiff)
         if len(s):
             own.append((d + 1, s, diff))
-    return label
-
-
-def _front(fp: Column, choice: tuple[int, ...], edges: list[int]) -> Column:
-    """fp with the chosen blocks of bits moved to its front."""
+    return label, np.concatenate(found)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], together: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of `by`, as batches of whole groups with at least `together` rows, but for the last."""
+    kept: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        kept.append(batch)
+        size += batch.num_rows
+        if size >= together:
+            rows = pa.concat_batches(kept)
+            group = np.stack([rows.column(c).to_numpy() for c in by], 1)
+            end = len(group) - int(np.argmax((group[::-1] != group[-1]).any(1))) if (group != group[-1]).any() else 0
+            if end:
+                yield rows.slice(0, end)
+            kept, size = [rows.slice(end)], len(group) - end
+    if size:
+        yield pa.concat_batches(kept)
+
+
+def _group_starts(rows: pa.RecordBatch, by: tuple[str, ...]) -> np.ndarray:
+    """Where the groups begin, with the end."""
+    group = np.stack([rows.column(c).to_numpy() for c in by], 1)
+    return np.append(np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(1))), len(group))
+
+
+def _front(key: Column, choice: tuple[int, ...], edges: list[int]) -> Column:
+    """key with the chosen blocks of the bits from edges[0] on moved to the front of those."""
     order = [*choice, *(k for k in range(len(edges) - 1) if k not in choice)]
-    out, used = F.lit(0).cast("bigint"), 0
+    out, used = F.shiftleft(F.shiftrightunsigned(key, BITS - edges[0]), BITS - edges[0]) if edges[0] else F.lit(0).cast("bigint"), edges[0]
     for k in order:
         width = edges[k + 1] - edges[k]
-        block = F.shiftrightunsigned(fp, BITS - edges[k + 1]).bitwiseAND(F.lit((1 << width) - 1))
+        block = F.shiftrightunsigned(key, BITS - edges[k + 1]).bitwiseAND(F.lit((1 << width) - 1))
         used += width
         out = out.bitwiseOR(F.shiftleft(block, BITS - used))
     return out
 
 
-def links(classes: DataFrame, count: int, budget: int = 3, hot: int = 4096) -> DataFrame:
-    """(a, b) links that connect all fp of classes within the budget; classes has each fp once, count of them."""
-    blocks = budget + 1 + (count > 1 << 24) + (count > 1 << 34)
-    edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
+def dealt(rows: DataFrame, depth: int, blocks: int, budget: int) -> tuple[DataFrame, int]:
+    """rows (fp, key, path) whose keys of one path agree on `depth` bits, each once for every choice of blocks - budget of the blocks of the other bits, with those in front; and how many bits the keys of one path agree on then.
+
+    A pair within the budget differs in at most that many blocks, so some choice gives both the same path.
+    """
+    edges = [depth + round(k * (BITS - depth) / blocks) for k in range(blocks + 1)]
     choices = list(combinations(range(blocks), blocks - budget))
-    depth = min(sum(edges[k + 1] - edges[k] for k in c) for c in choices)
-    keyed = classes.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), _front(F.col("fp"), c, edges).alias("key")) for i, c in enumerate(choices)))).alias("x")).select("fp", "x.choice", "x.key", F.shiftrightunsigned("x.key", BITS - depth).alias("node"))
-    sizes = keyed.groupBy("choice", "node").count().filter("count > 1")
-    cut = keyed.join(sizes, ["choice", "node"]).withColumn("chunks", F.ceil(F.col("count") / hot).cast("int"))
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    # chunk c meets itself and each other chunk once: as side 0 of (c, d) for d > c, as side 1 of (d, c) for d < c
-    dealt = cut.withColumn("c", chunk).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("choice", "node", F.least("c", "d").alias("c0"), F.greatest("c", "d").alias("c1"), (F.col("c") > F.col("d")).cast("int").alias("side"), "key", "fp")
+    agreed = depth + min(sum(edges[k + 1] - edges[k] for k in c) for c in choices)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _front(F.col("key"), c, edges).alias("key")) for i, c in enumerate(choices))))
+    out = rows.select("fp", "path", each.alias("x")).select("fp", F.col("x.key").alias("key"), F.xxhash64("path", "x.i", F.shiftrightunsigned("x.key", BITS - agreed)).alias("path"))
+    return out, agreed
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def run(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-            group = np.stack([rows[c] for c in ("choice", "node", "c0", "c1")], 1)
-            new = np.append(True, (group[1:] != group[:-1]).any(1))
-            starts = np.append(np.flatnonzero(new), len(group))
-            half = starts[:-1] + np.add.reduceat(rows["side"] == 0, starts[:-1])
-            one = rows["c0"][starts[:-1]] == rows["c1"][starts[:-1]]
-            spans = np.stack([starts[:-1], np.where(one, starts[1:], half), np.where(one, starts[:-1], half), starts[1:]], 1)
-            spans = spans[(spans[:, 1] > spans[:, 0]) & (spans[:, 3] > spans[:, 2])]
-            label = linked(rows["key"].view(np.uint64), spans, depth, budget)
-            at = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(rows["fp"][at]), pa.array(rows["fp"][label[at]])], ["a", "b"])
 
-        def put(parts: list[dict]) -> dict:
-            return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+def links(classes: DataFrame, count: int, budget: int = 3, hot: int = 4096) -> DataFrame:
+    """(a, b) links that connect all fp of classes within the budget; classes has each fp once, count of them.
+
+    A node of over `hot` fingerprints is dealt out anew by more bits, until few are left; a node whose free bits can't hold more than that is never too large.
+    """
+    rows, depth = classes.select("fp", F.col("fp").alias("key"), F.lit(0).cast("bigint").alias("path")), 0
+    blocks, ready, used = budget + 1 + (count > 1 << 24) + (count > 1 << 34), [], []
+    while True:
+        rows, depth = dealt(rows, depth, blocks, budget)
+        blocks = budget + 2
+        sizes = rows.groupBy("path").count().filter("count > 1")
+        if 1 << (BITS - depth) > max(hot, 1 << 8) and not (large := sizes.filter(F.col("count") > hot)).isEmpty():
+            rows, large = written(rows, "nodes"), written(large.select("path"), "large_nodes")
+            used += [rows, large]
+            ready.append(rows.join(sizes.filter(F.col("count") <= hot).select("path"), "path", "left_semi"))
+            rows = rows.join(large, "path", "left_semi")
+        else:
+            ready.append(rows.join(sizes.select("path"), "path", "left_semi"))
+            break
 
-        kept: list[dict[str, np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            kept.append({n: batch.column(n).to_numpy() for n in batch.schema.names})
-            size += batch.num_rows
-            if size >= TOGETHER:  # all groups but the last are whole
-                rows = put(kept)
-                group = np.stack([rows[c] for c in ("choice", "node", "c0", "c1")], 1)
-                end = len(group) - int(np.argmax((group[::-1] != group[-1]).any(1))) if (group != group[-1]).any() else 0
-                if end:
-                    yield run({c: v[:end] for c, v in rows.items()})
-                kept, size = [{c: v[end:] for c, v in rows.items()}], len(group) - end
-        if size:
-            yield run(put(kept))
-
-    by = ["choice", "node", "c0", "c1"]
-    return dealt.repartition(*by).sortWithinPartitions(*by, "side", F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).mapInArrow(apply, "a bigint, b bigint")
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for rows in _grouped(batches, ("path",), TOGETHER):
+            starts = _group_starts(rows, ("path",))
+            spans = np.stack([starts[:-1], starts[1:], starts[:-1], starts[1:]], 1)
+            fp = rows.column("fp").to_numpy()
+            _, found = linked(rows.column("key").to_numpy().view(np.uint64).reshape(-1, 1), spans, 0, budget)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[found[:, 0]]), pa.array(fp[found[:, 1]])], ["a", "b"])
+
+    nodes = reduce(DataFrame.unionByName, (r.select("path", "key", "fp") for r in ready))
+    out = nodes.repartition("path").sortWithinPartitions("path", F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).mapInArrow(apply, "a bigint, b bigint")
+    if used:
+        out = written(out, "node_links")
+        discard(*used)
+    return out
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -194,7 +267,8 @@ def components(pairs: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).filter("a <> b").distinct()
-        edges = written(small, "links")
+        edges, before = written(small, "links"), edges
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == total:
             break
@@ -219,83 +293,168 @@ def digests(docs: DataFrame) -> DataFrame:
     return near_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def bands(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
-    """A hash of each band of minima of the text's shingles."""
+def _distinct(text: str | None, words: int) -> np.ndarray:
+    """The hashes of the text's different shingles; 0 alone for a text without words."""
+    parts = list(hashes(text, words, 43))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """A hash of each band of minima of the hashes."""
     from xxhash import xxh64_intdigest
 
-    hashes = np.array([xxh64_intdigest(s, 43) for s in set(shingles(text, words))] or [0], np.uint64)
-    least = np.concatenate([((hashes ^ _SEEDS[0, k : k + ROWS]) * (_SEEDS[1, k : k + ROWS] | np.uint64(1))).min(1) for k in range(0, BANDS * ROWS, ROWS)])
+    least = np.concatenate([np.min([((own[k : k + 4096] ^ _SEEDS[0, j : j + ROWS]) * (_SEEDS[1, j : j + ROWS] | np.uint64(1))).min(1) for k in range(0, len(own), 4096)], axis=0) for j in range(0, BANDS * ROWS, ROWS)])
     return np.array([xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64)
 
 
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """The SimHash of WIDE words over a set of hashes."""
+
+    def rows() -> Iterator[np.ndarray]:
+        for k in range(0, len(own), 4096):
+            x = (own[k : k + 4096, None] ^ _WIDE[0]) * (_WIDE[1] | np.uint64(1))
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+            yield x ^ (x >> np.uint64(29))
+
+    return majority(rows(), WIDE)
+
+
 def alike(a: str | None, b: str | None, words: int = STAGE_WORDS, least: float = STAGE_LEAST) -> bool:
     """Whether the sets of shingles have that Jaccard similarity; texts without words are alike."""
-    x, y = set(shingles(a, words)), set(shingles(b, words))
-    both = len(x & y)
-    return not (x or y) or both / (len(x) + len(y) - both) >= least
+    x, y = _distinct(a, words), _distinct(b, words)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) >= least
+
+
+def node_of(text: str | None) -> int:
+    """A hash of the text's words, in lower case and without what parts them."""
+    from xxhash import xxh64
+
+    h, first = xxh64(), True
+    for whole, _, _ in _blocks((text or "").encode("utf-8", "surrogatepass"), 1):
+        h.update(whole if first else b" " + whole)
+        first = False
+    return h.intdigest()
 
 
 def _marks(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text, node (a hash of the text's words), fp and bands of each row."""
-    from xxhash import xxh64_intdigest
+    """doc_id, node, wide fingerprint (big-endian words) and bands of each row."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = batch.column("text").to_pylist()
-                node = np.array([xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts], np.uint64).view(np.int64)
-                fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-                keys = np.concatenate([np.zeros(0, np.uint64), *(bands(t, words) for t in texts)]).view(np.int64)
+                node = np.array([node_of(t) for t in texts], np.uint64).view(np.int64)
+                own = [_distinct(t, words) for t in texts]
+                keys = np.concatenate([bands(x) for x in own]).view(np.int64)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(node), pa.array(fp), listed], ["doc_id", "text", "node", "fp", "bands"])
+                wide = pa.array([wide_fingerprint(x).astype(">u8").tobytes() for x in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node), wide, listed], ["doc_id", "node", "wide", "bands"])
+
+    return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {dict(docs.dtypes)['doc_id']}, node bigint, wide binary, bands array<bigint>")
+
+
+def _with_node(docs: DataFrame, least: bool = False) -> DataFrame:
+    """docs with each row's node. least: of a batch's rows of one node, only that with the least doc_id (nulls last), then text."""
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "node bigint"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, node bigint, fp bigint, bands array<bigint>")
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            node = [node_of(t) for t in texts]
+            if least:
+                ids, first = batch.column("doc_id").to_pylist(), {}
+                for k in sorted(range(len(node)), key=lambda k: (ids[k] is None, ids[k] if ids[k] is not None else 0, texts[k] or "")):
+                    first.setdefault(node[k], k)
+                rows = sorted(first.values())
+                batch, node = batch.take(pa.array(rows, pa.int64())), [node[k] for k in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(node, np.uint64).view(np.int64))], [*batch.schema.names, "node"])
+
+    return docs.mapInArrow(apply, kinds)
 
 
-def _checked(pairs: DataFrame, marked: DataFrame, words: int, least: float) -> DataFrame:
+def _checked(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are alike."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = written(marked.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "candidate_texts")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    texts = written(_with_node(docs.select("text")).join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "candidate_texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [alike(x, y, words, least) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for batch in slices(whole, "ta"):
+                keep = [alike(x, y, words, least) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    out = written(both.select("a", "b", "ta", "tb").mapInArrow(apply, "a bigint, b bigint"), "alike")
+    discard(nodes, texts)
+    return out
+
+
+def candidates(marked: DataFrame, hot: int = HOT_BAND) -> DataFrame:
+    """(a, b, near) links between nodes that share a band: a forest of each group's links within the budget, near ones first."""
+    nodes = marked.groupBy("node").agg(F.min("wide").alias("wide"), F.min("bands").alias("bands"))
+    banded = written(nodes.select("node", "wide", "bands", F.explode("bands").alias("band")), "bands")
+    sizes = written(banded.groupBy("band").count().filter("count > 1"), "band_sizes")
+    rows = banded.join(sizes, "band")
+    ready = rows.filter(F.col("count") <= hot).select("band", "node", "wide", F.lit(0).alias("c0"), F.lit(0).alias("c1"), F.lit(0).alias("side"))
+    if not sizes.filter(F.col("count") > hot).isEmpty():
+        # what shares a band with too many others must share a second one, and what shares two with too many meets them in pairs of chunks
+        other = F.explode(F.array_except("bands", F.array("band")))
+        two = rows.filter(F.col("count") > hot).select("band", "node", "wide", other.alias("other")).select("node", "wide", F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band")).dropDuplicates(["band", "node"])
+        two = written(two, "two_bands")
+        count = two.groupBy("band").count().filter("count > 1").select("band", F.ceil(F.col("count") / hot).cast("int").alias("chunks"))
+        two = two.join(count, "band").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        ready = ready.unionByName(two.select("band", "node", "wide", F.least("c", "d").alias("c0"), F.greatest("c", "d").alias("c1"), (F.col("c") > F.col("d")).cast("int").alias("side")))
+    by = ("band", "c0", "c1")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for rows in _grouped(batches, by, TOGETHER // WIDE):
+            starts = _group_starts(rows, by)
+            half = starts[:-1] + np.add.reduceat(rows.column("side").to_numpy() == 0, starts[:-1])
+            one = (rows.column("c0").to_numpy() == rows.column("c1").to_numpy())[starts[:-1]]
+            spans = np.stack([starts[:-1], np.where(one, starts[1:], half), np.where(one, starts[:-1], half), starts[1:]], 1)
+            spans = spans[(spans[:, 1] > spans[:, 0]) & (spans[:, 3] > spans[:, 2])]
+            keys = np.frombuffer(b"".join(rows.column("wide").to_pylist()), ">u8").astype(np.uint64).reshape(-1, WIDE)
+            node, label = rows.column("node").to_numpy(), None
+            for budget in BUDGETS:
+                label, found = linked(keys, spans, 0, budget, label)
+                yield pa.RecordBatch.from_arrays([pa.array(node[found.min(1)]), pa.array(node[found.max(1)]), pa.array(np.full(len(found), budget == BUDGETS[0]))], ["a", "b", "near"])
+
+    found = ready.repartition(*by).sortWithinPartitions(*by, "side", "wide").mapInArrow(apply, "a bigint, b bigint, near boolean")
+    out = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "near").groupBy("a", "b").agg(F.max("near").alias("near")), "candidates")
+    discard(banded, sizes)
+    return out
+
 
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(apply, "a bigint, b bigint"), "alike")
+def _roots(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """doc_id, node and root of each row: the least node of the node's component."""
+    marked = written(_marks(docs, words), "marks")
+    found = candidates(marked)
+    near = found.filter("near").select("a", "b")
+    roots = components(near)
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    open_links = found.filter("NOT near").join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    checked = _checked(written(open_links.select("a", "b"), "open_links"), docs, words, least)
+    roots = components(near.unionByName(checked))
+    out = written(marked.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "roots")
+    discard(marked, found, checked)
+    return out
 
 
 def alike_components(docs: DataFrame, words: int = STAGE_WORDS, least: float = STAGE_LEAST) -> DataFrame:
     """(doc_id, component_id) of each row: components of texts whose shingles are alike to `least`."""
-    marked = written(_marks(docs, words), "marks")
-    classes = written(marked.groupBy("fp").agg(F.min("node").alias("rep")), "fingerprint_classes")
-    forest = links(classes.select("fp"), classes.count())
-    by_links = forest.join(classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    by_print = marked.join(classes, "fp").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    banded = marked.select("node", F.explode("bands").alias("band")).distinct()
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1").select("band", "first")
-    members = written(banded.join(shared, "band"), "bands")
-    by_band = members.groupBy("node").agg(F.min("first").alias("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first = written(by_links.union(by_print).union(by_band).filter("a <> b").select(*ordered).distinct(), "candidates")
-    found = _checked(first, marked, words, least)
-    roots = written(components(found), "roots")
-    placed = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    several = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
-    placed = written(placed.join(several, "band", "left_semi"), "open_bands")
-    a, b = (placed.select("band", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in ("a", "b"))
-    rest = a.join(b, "band").filter("root_a < root_b").select(*ordered).distinct().join(first, ["a", "b"], "left_anti")
-    found = found.union(_checked(written(rest, "candidates"), marked, words, least))
-    roots = components(found)
-    own = marked.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    own = _roots(docs, words, least)
     return own.join(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, but of each component of alike_components only that with the least doc_id; of rows with one doc_id, the first by text. Rows without a doc_id stay."""
+def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, least: float = STAGE_LEAST) -> DataFrame:
+    """The rows of docs, but of each component one: that with the least doc_id (rows without one last), then text."""
     moved, back = aside(docs, "doc_id", "text")
-    kept = alike_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    own = moved.join(kept, moved.doc_id == kept.kept_id, "left_semi").withColumn("rank", rank).filter("rank = 1").drop("rank")
-    return back(own.unionByName(moved.filter("doc_id IS NULL")))
+    own = _roots(docs, words, least)
+    kept = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("r")).select("r.node")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("doc_id").asc_nulls_last(), "text"))
+    rows = _with_node(moved, least=True).join(kept, "node", "left_semi")
+    return back(rows.withColumn("rank", rank).filter("rank = 1"))

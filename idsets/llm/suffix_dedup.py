@@ -20,19 +20,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, slices, text_bytes, written
+from .common import aside, discard, release, slices, text_bytes, written
 
 GRAM = 32
-#: Bytes of a batch for the transform; ranks and places of this many fit 21 bits each.
-BATCH = (1 << 21) - 1024
-#: Bytes of an anchor's contexts beyond which they are compared window by window.
+#: Bytes of a batch for the transform; ranks and places of up to 2 ** 21 fit 21 bits each.
+BATCH = 1 << 20
+#: Bytes of an anchor's contexts beyond which they are cut finer, and the widths of the cuts.
 HOT = 1 << 20
+WIDTHS = (48, 6, 1)
+#: Bytes of a repeated string in the pipeline's stage.
+STAGE_LENGTH = 200
+#: Bytes of a text that are looked at together, and contexts that are cut out together.
+PIECE, CUT = 1 << 20, 1 << 13
 _UNSET = np.uint16(0xFFFF)
 _NO_ID = -(1 << 63)
 
@@ -147,6 +153,7 @@ def _ranges(hit: np.ndarray) -> list[dict[str, int]]:
 
 def _by_transform(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Contexts in order of anchor and context -> the ranges of their windows that repeat within the anchor."""
+    release()
 
     def run(rows: list[tuple]) -> pa.RecordBatch:
         joined = np.frombuffer(b"\0".join([r[3] for r in rows]) + b"\0", np.uint8)
@@ -177,37 +184,83 @@ def _by_transform(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
         yield run(own)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Each window of the contexts: its place from the anchor and a hash of 128 bits."""
-    from xxhash import xxh3_128_digest
+def _finer(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Contexts cut by where the anchor stands in their windows: each part has windows whose anchor's place is in one range of `width`, so that all hold the same bytes around the anchor, which make the part's key."""
+    from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
     for whole in batches:
-        for batch in slices(whole, "bytes", 1 << 16):
-            raws, sizes = batch.column("bytes").to_pylist(), batch.column("n").to_numpy()
-            hashes = np.frombuffer(b"".join([xxh3_128_digest(r[k : k + length]) for r, n in zip(raws, sizes.tolist()) for k in range(n)]), "<i8").reshape(-1, 2)
-            k = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("anchor").take(pa.array(row)), batch.column("context").take(pa.array(row)), pa.array(k), pa.array(batch.column("place").to_numpy()[row] - k), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())], ["anchor", "context", "k", "place", "h1", "h2"])
+        for batch in slices(whole, "bytes", 1 << 19):
+            out: dict[str, list] = {c: [] for c in FINER}
+            for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "place", "bytes"))):
+                anchor, context, n, place, raw = r
+                for part in range((place - n + 1) // width, place // width + 1):
+                    first, last = max(0, place - (part + 1) * width + 1), min(n - 1, place - part * width)
+                    core = raw[place - part * width : place - (part + 1) * width + 1 + length]
+                    own = raw[first : last + length]
+                    key = xxh3_64_intdigest(core, (anchor + part) % (1 << 64))
+                    for c, v in zip(FINER, (anchor, context, signed(key), signed(xxh64_intdigest(own)), first, last - first + 1, place - first, own)):
+                        out[c].append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(out[c], pa.int64()) for c in FINER[:-1]), pa.array(out["bytes"], pa.binary())], list(FINER))
+
+
+FINER = ("anchor", "context", "key", "part", "first", "n", "place", "bytes")
+RANGES = "array<struct<first:bigint,n:bigint>>"
+
+
+def _all() -> Column:
+    """All windows of a context of n."""
+    return F.expr(f"CAST(array(named_struct('first', 0L, 'n', n)) AS {RANGES})").alias("ranges")
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    """A row for each (anchor, context), with all of its ranges."""
+    return reduce(DataFrame.unionByName, parts).groupBy("anchor", "context").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+
+
+def _transformed(contexts: DataFrame, length: int) -> DataFrame:
+    rows = contexts.select("anchor", "context", "n", "bytes").repartition("anchor").sortWithinPartitions("anchor", "context")
+    return rows.mapInArrow(partial(_by_transform, length=length), f"anchor bigint, context bigint, ranges {RANGES}")
+
+
+def _of_hot(contexts: DataFrame, length: int, hot: int, widths: tuple[int, ...]) -> DataFrame:
+    """(anchor, context, ranges) of contexts of anchors that are too many for a batch: in parts by `widths[0]`, parts of one key with too many contexts again by the next. Parts of width 1 are single windows, which counts settle."""
+    cut = contexts.mapInArrow(partial(_finer, length=length, width=widths[0]), "anchor bigint, context bigint, key bigint, part bigint, first bigint, n bigint, place bigint, bytes binary")
+    parts = written(cut, "context_parts")
+    classes = parts.groupBy("key", "part").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.min("place").alias("place"), F.min("bytes").alias("bytes"))
+    classes = written(classes.select(F.col("key").alias("anchor"), F.col("part").alias("context"), "copies", "n", "place", "bytes"), "part_classes")
+    sizes = classes.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum(F.length("bytes")).alias("size")).filter("contexts > 1").select("anchor", (F.col("size") > hot).alias("hot"))
+    mixed = classes.join(sizes, "anchor")
+    found = [classes.filter("copies > 1").select("anchor", "context", _all()), _transformed(mixed.filter("NOT hot"), length)]
+    if len(widths) > 1 and not (deep := mixed.filter("hot")).isEmpty():
+        found.append(_of_hot(deep, length, hot, widths[1:]))
+    known = _united(found).select(F.col("anchor").alias("key"), F.col("context").alias("part"), "ranges")
+    shifted = F.transform("ranges", lambda r: F.struct((r["first"] + F.col("first")).alias("first"), r["n"].alias("n")))
+    out = written(parts.drop("bytes").join(known, ["key", "part"]).select("anchor", "context", shifted.alias("ranges")), "part_ranges")
+    discard(parts, classes, *found)
+    return out
 
 
 def repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     """(k1, k2, spans): for the texts with repeated windows, by their hashes, the ranges of such windows' starts."""
-    from functools import partial
-
     from xxhash import xxh64_intdigest
 
     texts = docs.select("text", *hashes_of("text"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
-            for batch in slices(whole, "text"):
-                at, data = text_bytes(batch.column("text"))
-                r = runs_of(at, data, length)
-                raw = data.tobytes()
-                start = at[r["text"]] + r["first"]
-                context = np.array([xxh64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), (start + r["n"] + length - 1).tolist())], np.uint64)
-                own = pa.array(r["text"])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("k1", "k2", "id")), pa.array(r["first"].astype(np.int32)), pa.array(r["n"].astype(np.int16)), pa.array(r["place"].astype(np.int16)), pa.array(r["anchor"].view(np.int64)), pa.array(context.view(np.int64))], ["k1", "k2", "id", "first", "n", "place", "anchor", "context"])
+            for batch in slices(whole, "text", PIECE):
+                every_at, all_data = text_bytes(batch.column("text"))
+                # a text beyond PIECE, alone in its slice, goes in pieces that overlap by all but one byte of a window
+                for skip in range(0, max(1, len(all_data) - length + 1), PIECE) if batch.num_rows == 1 else (0,):
+                    at, data = (np.array([0, min(len(all_data) - skip, PIECE + length - 1)]), all_data[skip : skip + PIECE + length - 1]) if batch.num_rows == 1 else (every_at, all_data)
+                    r = runs_of(at, data, length)
+                    raw = data.tobytes()
+                    start = at[r["text"]] + r["first"]
+                    context = np.array([xxh64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), (start + r["n"] + length - 1).tolist())], np.uint64)
+                    own = pa.array(r["text"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("k1", "k2", "id")), pa.array((r["first"] + skip).astype(np.int32)), pa.array(r["n"].astype(np.int16)), pa.array(r["place"].astype(np.int16)), pa.array(r["anchor"].view(np.int64)), pa.array(context.view(np.int64))], ["k1", "k2", "id", "first", "n", "place", "anchor", "context"])
 
     every = written(texts.mapInArrow(runs, "k1 bigint, k2 bigint, id bigint, first int, n smallint, place smallint, anchor bigint, context bigint"), "runs")
     classes = every.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "id", "first", "n", "place")).alias("at"))
@@ -217,8 +270,9 @@ def repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     wanted = mixed.groupBy("k1", "k2", "id").agg(F.collect_list(F.struct("anchor", "context", "first", "n", "place", (F.col("bytes") > hot).alias("hot"))).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", PIECE):
                 at, data = text_bytes(batch.column("text"))
                 raw = data.tobytes()
                 column = batch.column("wanted")
@@ -226,20 +280,24 @@ def repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
                 base = np.repeat(at[:-1], column.value_lengths().to_numpy(zero_copy_only=False))
                 first, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "n"))
                 begin = base + first
-                parts = [raw[a:b] for a, b in zip(begin.tolist(), (begin + n + length - 1).tolist())]
-                yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("context"), flat.field("n"), flat.field("place"), flat.field("hot"), pa.array(parts, pa.binary())], ["anchor", "context", "n", "place", "hot", "bytes"])
+                for k in range(0, len(begin), CUT):  # of a long text, some at a time
+                    own, rows = slice(k, k + CUT), flat.slice(k, CUT)
+                    parts = [raw[a:b] for a, b in zip(begin[own].tolist(), (begin + n + length - 1)[own].tolist())]
+                    yield pa.RecordBatch.from_arrays([rows.field("anchor"), rows.field("context"), rows.field("n"), rows.field("place"), rows.field("hot"), pa.array(parts, pa.binary())], ["anchor", "context", "n", "place", "hot", "bytes"])
 
     contexts = texts.join(wanted, ["k1", "k2", "id"]).select("text", "wanted").mapInArrow(cut, "anchor bigint, context bigint, n smallint, place smallint, hot boolean, bytes binary")
     contexts = written(contexts, "context_bytes")
-    found = contexts.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(partial(_by_transform, length=length), "anchor bigint, context bigint, ranges array<struct<first:bigint,n:bigint>>")
-    windows = contexts.filter("hot").mapInArrow(partial(_windows, length=length), "anchor bigint, context bigint, k bigint, place bigint, h1 bigint, h2 bigint")
-    same = ["anchor", "place", "h1", "h2"]
-    twice = windows.groupBy(*same).agg(F.min("context").alias("least"), F.max("context").alias("most")).filter("least <> most").select(*same)
-    found_hot = windows.join(twice, same).select("anchor", "context", F.array(F.struct(F.col("k").alias("first"), F.lit(1).cast("bigint").alias("n"))).alias("ranges"))
-    whole = classes.filter("copies > 1").select("anchor", "context", F.array(F.struct(F.lit(0).cast("bigint").alias("first"), F.col("at.n").cast("bigint").alias("n"))).alias("ranges"))
-    parts = whole.unionByName(found).unionByName(found_hot).select("anchor", "context", F.explode("ranges").alias("r"))
-    spans = every.join(parts, ["anchor", "context"]).select("k1", "k2", (F.col("first") + F.col("r.first")).alias("first"), F.col("r.n").alias("n"))
-    return written(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "n")).alias("spans")), "repeats")
+    whole = classes.filter("copies > 1").select("anchor", "context", F.col("at.n").cast("bigint").alias("n")).select("anchor", "context", _all())
+    found = [whole, _transformed(contexts.filter("NOT hot"), length)]
+    deep = contexts.filter("hot").dropDuplicates(["anchor", "context"])
+    if not deep.isEmpty():
+        found.append(_of_hot(deep, length, hot, WIDTHS))
+    # one row for each context, so that a run meets one row at most, whatever its copies
+    shifted = F.transform("ranges", lambda r: F.struct((r["first"] + F.col("first")).alias("first"), r["n"].alias("n")))
+    spans = every.join(_united(found), ["anchor", "context"]).select("k1", "k2", shifted.alias("spans"))
+    out = written(spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans")), "repeats")
+    discard(every, classes, contexts, *found)
+    return out
 
 
 def hashes_of(text: str) -> list:
@@ -289,13 +347,14 @@ def dedup(docs: DataFrame, length: int = 400, columns: tuple[str, ...] = ("doc_i
     return out.select(*(F.col(n).alias(c) for c, n in names.items()), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts)
 
 
-def without_repeats(docs: DataFrame, length: int = 400, chars: str = "n_chars") -> DataFrame:
-    """docs with what is kept of their texts (null texts: empty), and the column `chars`, if there is one, as long as a changed text. All rows stay."""
+def without_repeats(docs: DataFrame, length: int = STAGE_LENGTH, chars: str = "n_chars") -> DataFrame:
+    """docs with what is kept of their texts, and the column `chars`, if there is one, as long as a changed text. All rows stay; null texts stay null."""
     moved, back = aside(docs, "doc_id", "text", chars)
+    moved = moved.withColumn("__null", F.col("text").isNull())
     kept = dedup(moved, length, tuple(c for c in moved.columns if c != "text"))
     if chars in moved.columns:
         kept = kept.withColumn(chars, F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col(chars)).cast(moved.schema[chars].dataType))
-    return back(kept.withColumn("text", F.col("kept")))
+    return back(kept.withColumn("text", F.when(~F.col("__null"), F.col("kept"))))
 
 
 def digests(docs: DataFrame) -> DataFrame:

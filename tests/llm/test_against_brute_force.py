@@ -101,8 +101,31 @@ def test_trie_join():
     r = np.random.default_rng(3)
     keys = r.integers(0, 2**63, 200, dtype=np.uint64)
     keys = np.unique(np.concatenate([keys, keys[:60] ^ np.uint64(1 << 40), keys[:60] ^ np.uint64(0b111), keys[:30] ^ np.uint64(0b1111 << 50)]))
-    label = simhash.linked(keys, np.array([[0, len(keys), 0, len(keys)]]), 0, 3)
+    label, links = simhash.linked(keys.reshape(-1, 1), np.array([[0, len(keys), 0, len(keys)]]), 0, 3)
     assert (label == brute_roots(np.bitwise_count(keys[:, None] ^ keys) <= 3)).all()
+    assert (np.bitwise_count(keys[links[:, 0]] ^ keys[links[:, 1]]) <= 3).all()
+    assert len(links) == len(keys) - len(set(label.tolist()))
+
+
+def test_nodes_that_many_fingerprints_share(spark):
+    """800 fingerprints that agree on their first 48 bits: what is dealt out stays far below a pair for each two."""
+    r = random.Random(6)
+    keys = [(0xABCDEF << 40) | (k << 16) | r.getrandbits(16) for k in range(1)] + [(0xABCDEF012345 << 16) | k for k in r.sample(range(1 << 16), 800)]
+    classes = spark.createDataFrame([(k if k < 1 << 63 else k - (1 << 64),) for k in keys], "fp bigint")
+    got = [(x.a % (1 << 64), x.b % (1 << 64)) for x in simhash.links(classes, len(keys), hot=256).collect()]
+    assert all((a ^ b).bit_count() <= 3 for a, b in got)
+    own = np.array(keys, np.uint64)
+    roots = brute_roots(np.bitwise_count(own[:, None] ^ own) <= 3)
+    label = {k: k for k in keys}
+
+    def top(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a, b in got:
+        label[max(top(a), top(b))] = min(top(a), top(b))
+    assert len({top(k) for k in keys}) == len(set(roots.tolist()))
 
 
 @pytest.mark.parametrize("hot", [4096, 2])
@@ -154,9 +177,11 @@ def test_components_of_a_chain(spark):
     assert {(r.node, r.root) for r in simhash.components(pairs).collect()} == {(k, 0) for k in range(1, 41)} | {(100, 90)}
 
 
-@pytest.mark.parametrize("hot", [1 << 20, 200])
-def test_suffix_dedup(corpus, hot):
+@pytest.mark.parametrize(("hot", "widths", "piece"), [(1 << 20, (48, 6, 1), 1 << 20), (200, (48, 6, 1), 150), (1, (7, 1), 1 << 20), (200, (1,), 70)])
+def test_suffix_dedup(corpus, hot, widths, piece, monkeypatch):
     length = 60
+    monkeypatch.setattr(suffix_dedup, "WIDTHS", widths)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     rows = [(i, t.encode()) for i, t in texts_of(corpus)]
     seen = Counter(t[k : k + length] for _, t in rows for k in range(len(t) - length + 1))
     got = by_id(suffix_dedup.dedup(corpus, length, hot=hot))
