@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class ChunkCache:
@@ -37,25 +38,53 @@ class ChunkCache:
         return out
 
 
-def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, list[bytes]]:
+class FlatCache:
+    """ChunkCache for lists of integers, in flat arrays: no Python object for each known chunk."""
+
+    def __init__(self, encode: Callable[[pa.BinaryArray], tuple[np.ndarray, np.ndarray]], most: int):
+        self.encode, self.most = encode, most  # encode gives the sizes of the lists, and the lists one after another
+        self.known, self.sizes, self.values = pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def lists_of(self, chunks: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, sizes, values) of the list of each chunk; chunks must differ."""
+        found = pc.index_in(chunks, value_set=self.known).to_numpy(zero_copy_only=False) if len(self.known) else np.full(len(chunks), np.nan)
+        absent = np.isnan(found) if found.dtype.kind == "f" else np.zeros(len(found), bool)
+        at = np.where(absent, 0, found).astype(np.int64)
+        sizes, values = self.sizes, self.values
+        if absent.any():
+            new = chunks.filter(pa.array(absent))
+            new_sizes, new_values = self.encode(new)
+            at[absent] = len(sizes) + np.arange(len(new))
+            sizes, values = np.concatenate([sizes, new_sizes]), np.concatenate([values, new_values])
+            if len(sizes) <= self.most:
+                self.known, self.sizes, self.values = pa.concat_arrays([self.known, new]), sizes, values
+        return (np.cumsum(sizes) - sizes)[at], sizes[at], values
+
+
+def coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, pa.BinaryArray]:
     """(number of each chunk, the different chunks). Chunks start at `starts` and reach to `ends`, or to the next start."""
     if not len(starts):
-        return np.zeros(0, np.int64), []
+        return np.zeros(0, np.int64), pa.array([], pa.binary())
     if ends is None:
         offsets = np.append(starts, len(data)).astype(np.int32)
     else:  # drops what lies between
         keep = np.zeros(len(data) + 1, np.int8)
-        np.add.at(keep, starts, 1)
-        np.add.at(keep, ends, -1)
-        data = data[np.cumsum(keep[:-1], dtype=np.int8).astype(bool)]
+        keep[starts] += 1
+        keep[ends] -= 1
+        data = data[np.cumsum(keep[:-1], dtype=np.int8).view(bool)]
         offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
     column = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-    coded = column.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    found = column.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, list[bytes]]:
+    """coded(), with the chunks as a list."""
+    codes, chunks = coded(data, starts, ends)
+    return codes, chunks.to_pylist()
 
 
-def ragged_take(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenated values of the lists `which`, and where each of those begins, with the end."""
-    sizes = (offsets[1:] - offsets[:-1])[which]
+def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of `sizes` values from `starts`, one after another, and where each of those begins, with the end."""
     ends = np.append(0, np.cumsum(sizes))
-    return values[np.arange(ends[-1]) + np.repeat(offsets[:-1][which] - ends[:-1], sizes)], ends
+    return values[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)], ends

@@ -15,20 +15,26 @@ doc_id comes first; a table without rows gives files without rows; other columns
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache, numbered, ragged_take
-from .common import scratch, slices, text_bytes
+from .chunks import FlatCache, coded, ragged
+from .common import scratch, slices, text_bytes, worker_state
 
 SCHEMA = "part int, doc_id bigint, part_start bigint, n_tokens bigint, ids array<int>"
-#: Entries a worker keeps; see ChunkCache.
-CACHE = 500_000
+#: Entries a worker keeps; see FlatCache.
+CACHE = 2_000_000
+#: Bytes of text that a step handles at once.
+STEP = 8 << 20
 #: Chunks that the tokenizer gets as one text, with SEPARATOR between them.
 JOINED = 1000
 SEPARATOR = "\x00"
@@ -40,6 +46,22 @@ _KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
 _KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _PUNCT
 
 
+# The pipeline for which a chunk of ASCII and Latin-1 letters goes to the merges as it is, in lower case, and the characters that stand for bytes there.
+_PIPELINE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {chr(b): chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN) if b >= 128}
+_LETTERS = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+
+
 def chunk_bounds(at: np.ndarray, data: np.ndarray, special: bool) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the chunks of texts at offsets `at`."""
     kind = _KIND[data]
@@ -68,49 +90,56 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        pipeline = json.loads(tokenizer_json)
+        self.direct, self.model = all(pipeline[k] == v for k, v in _PIPELINE.items()), self.tokenizer.model
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = ChunkCache(self.encode, CACHE)
-
-    def encode(self, chunks: list[bytes]) -> list[np.ndarray]:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        odd = [k for k, t in enumerate(texts) if SEPARATOR in t] if len(self.separator) == 1 else range(len(texts))
-        out: list = [None] * len(texts)
-        for k in odd:
-            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.int32)
-        rest = [k for k, x in enumerate(out) if x is None]
+        self.cache = FlatCache(self.encode, CACHE)
+
+    def encode(self, chunks: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each chunk, all ids)."""
+        plain = pc.match_substring_regex(chunks.cast(pa.string()), _LETTERS).to_numpy(zero_copy_only=False) & self.direct
+        lists: list = [None] * len(chunks)
+        letters, rest = np.flatnonzero(plain), np.flatnonzero(~plain).tolist()
+        if len(letters):
+            shown = b"\n".join(chunks.take(pa.array(letters)).to_pylist()).decode().lower().encode().decode("latin-1")
+            for b, c in _BYTE_LEVEL.items():
+                shown = shown.replace(b, c)
+            tokenize = self.model.tokenize
+            for k, w in zip(letters.tolist(), shown.split("\n"), strict=True):
+                lists[k] = [t.id for t in tokenize(w)]
+        chunks = chunks.take(pa.array(rest, pa.int64())).to_pylist()
+        alone = len(self.separator) != 1
         for i in range(0, len(rest), JOINED):
             own = rest[i : i + JOINED]
-            ids = np.array(self.tokenizer.encode(f" {SEPARATOR} ".join([texts[k] for k in own]), add_special_tokens=False).ids, np.int32)
-            cuts = np.append(np.flatnonzero(ids == self.separator[0]), len(ids)).tolist()
-            begin = 0
-            for k, cut in zip(own, cuts, strict=True):
-                out[k] = ids[begin:cut].copy()
-                begin = cut + 1
-        return out
+            texts = [c.decode() for c in chunks[i : i + JOINED]]
+            joined = f" {SEPARATOR} ".join(texts)
+            if alone or joined.count(SEPARATOR) != len(own) - 1:  # a chunk holds the separator itself
+                found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            else:
+                ids = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+                cuts = [k for k, x in enumerate(ids) if x == self.separator[0]]
+                found = [ids[a + 1 : b] for a, b in zip([-1, *cuts], [*cuts, len(ids)])]
+            for k, x in zip(own, found, strict=True):
+                lists[k] = x
+        return np.array([len(x) for x in lists], np.int64), np.array(list(chain.from_iterable(lists)), np.int32)
 
     def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts."""
         at, data = text_bytes(column)
-        raw = data.tobytes()
-        starts, ends = chunk_bounds(at, data, any(s in raw for s in self.special))
-        codes, chunks = numbered(data, starts, ends)
-        if not chunks:
-            return np.zeros(len(at), np.int64), np.zeros(0, np.int32)
-        entries = self.cache.entries_of(chunks)
-        offsets = np.append(0, np.cumsum([len(e) for e in entries]))
-        ids, firsts = ragged_take(np.concatenate(entries), offsets, codes)
+        raw = memoryview(data)
+        starts, ends = chunk_bounds(at, data, any(_has(raw, s) for s in self.special))
+        codes, chunks = coded(data, starts, ends)
+        begin, sizes, values = self.cache.lists_of(chunks)
+        ids, firsts = ragged(values, begin[codes], sizes[codes])
         return firsts[np.searchsorted(starts, at)], ids
 
 
-_own: dict[int, WordEncoder] = {}
+def _has(raw: memoryview, part: bytes) -> bool:
+    return re.search(re.escape(part), raw) is not None
 
 
 def _worker(tokenizer) -> WordEncoder:
-    key = hash(tokenizer.value)
-    if key not in _own:
-        _own.clear()
-        _own[key] = WordEncoder(tokenizer.value)
-    return _own[key]
+    return worker_state(("words", hash(tokenizer.value)), lambda: WordEncoder(tokenizer.value))
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2) -> None:
@@ -124,7 +153,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         part, start = TaskContext.get().partitionId(), 0
         encoder = _worker(tokenizer)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", STEP):
                 at, ids = encoder.flat(batch.column("text"))
                 ends = np.append(0, at[1:] + np.arange(1, len(at)))
                 ids = np.insert(ids, at[1:], end_id).astype(np.int32)
