@@ -9,7 +9,8 @@ page are those of the highest joint likelihood, found from the leaves upwards.
 The trees learn from pages that `sample_pages` writes by rules, with many layouts and known main text; PAGES of them, whatever the corpus.
 
 A page without html, or without main text, gives an empty text; scripts, styles and other elements without prose never count; broken markup is closed as
-browsers do it; repeated rows each get their result; a table without rows gives none; columns beside page_id, url and html play no part.
+browsers do it; repeated rows each get their result; elements whose labels are equally likely are left out; a page is parsed in time in proportion to its length, and a very long one is a step of its own; a table without rows gives none;
+columns beside page_id, url and html play no part.
 """
 
 from __future__ import annotations
@@ -66,22 +67,22 @@ class Page:
         self.pieces: list[tuple[int, str, int]] = []  # (element, text, block)
         stack, block, at = [0], 0, 0
         silent = 0  # how many open elements are silent
+        places: dict[str, list[int]] = {}  # where on the stack the open elements of a name are
 
         def close(n: int) -> None:
             nonlocal silent, block
             while len(stack) > n:
-                e = stack.pop()
-                silent -= self.tag[e] in SILENT
-                block += self.tag[e] in BLOCK
+                tag = self.tag[stack.pop()]
+                places[tag].pop()
+                silent -= tag in SILENT
+                block += tag in BLOCK
+
+        def last(names: tuple[str, ...]) -> int:
+            return max([places[x][-1] for x in names if places.get(x)], default=0)
 
         def up_to(names: tuple[str, ...], stops: tuple[str, ...]) -> None:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = self.tag[stack[k]]
-                if tag in names:
-                    close(k)
-                    return up_to(names, stops)
-                if tag in stops:
-                    return
+            while (k := last(names)) > last(stops):
+                close(k)
 
         def text(a: int, b: int) -> None:
             if not silent and b > a:
@@ -99,12 +100,9 @@ class Page:
                 continue
             name = name.lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        close(k)
-                        break
-                    if name not in BLOCK and self.tag[stack[k]] in ("td", "th", "table"):
-                        break
+                stop = 0 if name in BLOCK else last(("td", "th", "table"))
+                if (k := last((name,))) and k >= stop:
+                    close(k)
                 else:
                     block += name == "p"
                 continue
@@ -120,7 +118,7 @@ class Page:
                 self.pieces.append((stack[-1], " ", block))
             if name in VOID:
                 continue
-            if name in ("html", "body") and name in (self.tag[e] for e in stack):
+            if name in ("html", "body") and places.get(name):
                 continue
             e = len(self.tag)
             words: tuple[str, ...] = ()
@@ -134,12 +132,13 @@ class Page:
             if name in RAW:
                 stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(source, at)
                 at = stop.start() if stop else n
+            places.setdefault(name, []).append(len(stack))
             stack.append(e)
             silent += name in SILENT
             if m[3].rstrip().endswith("/") and name not in BLOCK and name not in RAW:
                 close(len(stack) - 1)
         text(at, n)
-        close(0)
+        close(1)
 
     def blocks(self, keep: np.ndarray) -> list[str]:
         """The texts of blocks, of the pieces whose elements are kept."""
