@@ -35,7 +35,7 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -43,11 +43,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of texts: their bytes, bounds, hashes, and firsts: for each text the number of its first word, with the end."""
 
-    def __init__(self, at: np.ndarray, data: np.ndarray):
+    def __init__(self, at: np.ndarray, data: np.ndarray, letters: np.ndarray = _WORD):
+        """letters: for each byte whether words hold it."""
         data = _LOWER[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[at] = True
-        word = _WORD[data]
+        word = letters[data]
         if len(data):
             edge[1:-1] |= word[1:] != word[:-1]
         cuts = np.flatnonzero(edge)
@@ -60,7 +61,7 @@ class Words:
         if len(sizes):
             offset = np.arange(begin[-1]) - np.repeat(begin[:-1], sizes)
             power = powers(0x9E3779B97F4A7C15, int(sizes.max()))
-            self.hashes = _mix(np.add.reduceat((data[word].astype(np.uint64) + np.uint64(1)) * power[offset], begin[:-1]))
+            self.hashes = mix(np.add.reduceat((data[word].astype(np.uint64) + np.uint64(1)) * power[offset], begin[:-1]))
         else:
             self.hashes = np.zeros(0, np.uint64)
 
@@ -75,7 +76,7 @@ class Words:
             return np.zeros(0, np.uint64)
         out = np.full(n, size, np.uint64)
         for k in range(size):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + self.hashes[k : k + n])
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + self.hashes[k : k + n])
         return out
 
     def joined(self, first: int, n: int) -> bytes:

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside, discard, release, slices, written
+from .common import aside, discard, release, slices, text_bytes, written
+from .decontaminate import Words, mix
 
 BITS = 64
 #: Node pairs that a step of the traversal handles at once.
@@ -46,8 +47,12 @@ WIDE, BUDGETS = 16, (120, 136, 150, 164, 184)
 #: Texts that share a band beyond which they must share two.
 HOT_BAND = 4096
 _RANDOM = np.random.default_rng(7)
-_SEEDS = _RANDOM.integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+_SEEDS = _RANDOM.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _WIDE = _RANDOM.integers(0, 1 << 64, (2, 1, WIDE), np.uint64)
+#: For each byte a word whose bytes are its bits.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+_SOLID = np.ones(256, bool)
+_SOLID[[*range(9, 14), 32]] = False
 _WHITE = re.compile(rb"[ \t-\r]")
 
 
@@ -293,45 +298,69 @@ def digests(docs: DataFrame) -> DataFrame:
     return near_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _distinct(text: str | None, words: int) -> np.ndarray:
-    """The hashes of the text's different shingles; 0 alone for a text without words."""
-    parts = list(hashes(text, words, 43))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
-
-
-def bands(own: np.ndarray) -> np.ndarray:
-    """A hash of each band of minima of the hashes."""
-    from xxhash import xxh64_intdigest
-
-    least = np.concatenate([np.min([((own[k : k + 4096] ^ _SEEDS[0, j : j + ROWS]) * (_SEEDS[1, j : j + ROWS] | np.uint64(1))).min(1) for k in range(0, len(own), 4096)], axis=0) for j in range(0, BANDS * ROWS, ROWS)])
-    return np.array([xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64)
-
-
-def wide_fingerprint(own: np.ndarray) -> np.ndarray:
-    """The SimHash of WIDE words over a set of hashes."""
-
-    def rows() -> Iterator[np.ndarray]:
-        for k in range(0, len(own), 4096):
-            x = (own[k : k + 4096, None] ^ _WIDE[0]) * (_WIDE[1] | np.uint64(1))
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-            yield x ^ (x >> np.uint64(29))
-
-    return majority(rows(), WIDE)
+def shingle_sets(at: np.ndarray, data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the different shingles of texts at offsets `at`, one text after another; where each text's begin, with the end). A text without words has the hash 0 alone."""
+    own = Words(at, data, _SOLID)
+    count, text = np.diff(own.firsts), own.text_of()
+    full = own.shingles(words)
+    inside = np.flatnonzero(np.arange(len(full)) + words <= own.firsts[1:][text[: len(full)]])
+    owners, found = [text[inside]], [full[inside]]
+    for n in range(words):
+        few = np.flatnonzero(count == n)
+        if len(few):
+            owners.append(few)
+            found.append(own.shingles(n)[own.firsts[few]] if n else np.zeros(len(few), np.uint64))
+    owner, found = np.concatenate(owners), np.concatenate(found)
+    order = np.lexsort((found, owner))
+    owner, found = owner[order], found[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (found[1:] != found[:-1]))[: len(found)]
+    return found[new], np.searchsorted(owner[new], np.arange(len(at)))
+
+
+def sets_of(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets of a slice of texts; a text beyond PIECE, alone in its slice, is hashed by pieces."""
+    at, data = text_bytes(column)
+    if len(column) != 1 or len(data) <= PIECE:
+        return shingle_sets(at, data, words)
+    parts = [shingle_sets(np.array([0, len(whole)]), np.frombuffer(whole, np.uint8), words)[0] for whole, _, _ in _blocks(data.tobytes(), words)]
+    own = np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
+    return own, np.array([0, len(own)])
+
+
+def bands(own: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each set a hash of each band of minima of the hashes."""
+    out = np.full((len(begin) - 1, BANDS), 1, np.uint64) * np.arange(1, BANDS + 1, dtype=np.uint64)
+    for j in range(BANDS * ROWS):
+        least = np.minimum.reduceat((own ^ _SEEDS[0, j]) * (_SEEDS[1, j] | np.uint64(1)), begin[:-1])
+        out[:, j // ROWS] = mix(out[:, j // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least)
+    return out
 
 
-def alike(a: str | None, b: str | None, words: int = STAGE_WORDS, least: float = STAGE_LEAST) -> bool:
-    """Whether the sets of shingles have that Jaccard similarity; texts without words are alike."""
-    x, y = _distinct(a, words), _distinct(b, words)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) >= least
+def wide_fingerprints(own: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The SimHash of WIDE words of each set. Bits are counted in the bytes of 64-bit words, of up to 255 rows at once."""
+    sizes = np.diff(begin)
+    blocks = -(-sizes // 255)
+    first = np.repeat(begin[:-1], blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    ends = np.append(first[1:], begin[-1])
+    counts = np.zeros((len(first), BITS * WIDE), np.uint8)
+    for k in range(0, len(first), 32):
+        a, b = int(first[k]), int(ends[min(k + 31, len(first) - 1)])
+        x = (own[a:b, None] ^ _WIDE[0]) * (_WIDE[1] | np.uint64(1))
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        lanes = _LANES[(x ^ (x >> np.uint64(29))).view(np.uint8)]
+        counts[k : k + 32] = np.add.reduceat(lanes, first[k : k + 32] - a, axis=0).view(np.uint8)
+    ones = np.add.reduceat(counts, np.cumsum(blocks) - blocks, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
 def node_of(text: str | None) -> int:
     """A hash of the text's words, in lower case and without what parts them."""
     from xxhash import xxh64
 
-    h, first = xxh64(), True
-    for whole, _, _ in _blocks((text or "").encode("utf-8", "surrogatepass"), 1):
+    h, first, raw = xxh64(), True, (text or "").encode("utf-8", "surrogatepass")
+    if len(raw) <= PIECE:
+        return xxh64(b" ".join(raw.lower().split())).intdigest()
+    for whole, _, _ in _blocks(raw, 1):
         h.update(whole if first else b" " + whole)
         first = False
     return h.intdigest()
@@ -344,12 +373,10 @@ def _marks(docs: DataFrame, words: int) -> DataFrame:
         release()
         for whole in batches:
             for batch in slices(whole, "text"):
-                texts = batch.column("text").to_pylist()
-                node = np.array([node_of(t) for t in texts], np.uint64).view(np.int64)
-                own = [_distinct(t, words) for t in texts]
-                keys = np.concatenate([bands(x) for x in own]).view(np.int64)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-                wide = pa.array([wide_fingerprint(x).astype(">u8").tobytes() for x in own], pa.binary())
+                node = np.array([node_of(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+                own, begin = sets_of(batch.column("text"), words)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(bands(own, begin).view(np.int64).ravel()))
+                wide = pa.array([x.tobytes() for x in wide_fingerprints(own, begin).astype(">u8")], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node), wide, listed], ["doc_id", "node", "wide", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {dict(docs.dtypes)['doc_id']}, node bigint, wide binary, bands array<bigint>")
@@ -383,8 +410,10 @@ def _checked(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> Dat
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "ta"):
-                keep = [alike(x, y, words, least) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
+            for batch in slices(whole, "ta", 1):  # a pair at a time
+                (x, _), (y, _) = sets_of(batch.column("ta"), words), sets_of(batch.column("tb"), words)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep = [both / (len(x) + len(y) - both) >= least]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     out = written(both.select("a", "b", "ta", "tb").mapInArrow(apply, "a bigint, b bigint"), "alike")
