@@ -1,14 +1,15 @@
 """Quality rules by weak supervision: rules vote or abstain, and a posterior takes the place of all-must-pass.
 
-Each rule looks at one statistic of a text and votes for good or bad, or abstains. Expectation-maximisation estimates the accuracy
-of each rule and the share of good texts from the votes of all documents, which are counted by pattern: at most 2 ** rules rows. A
-document is kept if its posterior probability of being good is at least one half and the base rules hold. All work on texts is in DataFrame functions.
+Each rule looks at one statistic of a text and votes for good or bad, or abstains. Expectation-maximisation estimates the share of good texts and,
+for each rule, how often it votes either way or abstains on good and on bad texts, from the votes of all documents, which are counted by pattern: at most 3 ** rules rows. A
+document is kept if its posterior probability of being good is at least one half and the base rules hold; single bad votes can be outvoted, and abstentions of
+several rules can speak against a text. All work on texts is in DataFrame functions.
 
 Base statistics, over words (runs of anything but ASCII white space): word_chars, n_symbols, n_dup_lines and n_repeat_words; see
 `base_columns`. base_failed is for texts of under 20 words or with over 30 % of the words in repeated windows.
 
 Null and empty texts have zero statistics and fail; repeated rows each get their result and count each in the
-estimate; a table without rows gives none; columns beside doc_id and text play no part.
+estimate; a posterior of exactly one half keeps; a text's words and windows are arrays in one row, some 100 bytes for each word of the longest text of a task; a table without rows gives none; columns beside doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -23,22 +24,25 @@ from .text_stats import SYMBOLS, UPPER, count_of, with_words
 
 WINDOW = 8
 KEEP = 0.5
-#: By statistic: the rule votes good up to the first limit or bad over the second; else, or where the statistic is null, it abstains.
-RULES: dict[str, tuple[float | None, float | None]] = {
-    "symbols": (None, 0.2),
-    "shouts": (None, 0.3),
-    "upper": (None, 0.35),
-    "bars": (None, 0.08),
-    "repeated_lines": (None, 0.35),
-    "repeat_words": (None, 0.3),
-    "same_words": (None, 0.62),
-    "word_length": (None, 12.0),
-    "plain": (0.02, None),
-    "open_lines": (0.5, None),
+#: By statistic: the rule votes good up to the first limit and bad over the second; between, or where the statistic is null, it abstains.
+RULES: dict[str, tuple[float, float]] = {
+    "symbols": (0.02, 0.2),
+    "shouts": (0.02, 0.3),
+    "upper": (0.04, 0.2),
+    "bars": (0.02, 0.08),
+    "repeated_lines": (0.05, 0.3),
+    "repeat_words": (0.05, 0.25),
+    "same_words": (0.3, 0.5),
+    "word_length": (6.5, 9.0),
+    "open_lines": (0.15, 0.5),
 }
-#: How sure a vote can be at most, and the guesses that the estimate begins with.
-SURE, PRIOR_ACCURACY, PRIOR_SHARE = 0.998, 0.97, 0.85
-ROUNDS = 60
+VOTES = (-1, 0, 1)
+#: What the estimate adds to the counts of bad votes, abstentions and good votes, by class: as many texts of a usual kind. It decides only where there are few documents.
+PRIOR = {True: (0.5, 1.5, 8.0), False: (4.0, 2.0, 4.0)}
+PRIOR_TEXTS = {True: 8.0, False: 2.0}
+#: The first guess of a text's probability: with bad votes in the majority, with some, with none.
+GUESS = (0.05, 0.5, 0.95)
+ROUNDS, ENOUGH = 200, 1e-9
 
 
 def base_columns(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -91,7 +95,6 @@ def _values() -> dict[str, Column]:
         # longer texts repeat more of their words: about half of a power of the length is usual
         "same_words": share(1 - F.col("__n_different") / F.greatest(n, F.lit(1)), F.log10(n + 10) / 2),
         "word_length": share(chars, n),
-        "plain": share(F.col("n_symbols"), n) + F.col("__n_upper") / F.greatest(chars, F.lit(1)) / 10,
         "open_lines": share(F.col("__n_open"), F.col("__n_lines")),
     }
 
@@ -99,48 +102,42 @@ def _values() -> dict[str, Column]:
 def votes() -> list[Column]:
     """1 for good, -1 for bad, 0 for an abstention, by rule."""
     values = _values()
-    return [F.when(values[k] <= good, 1).otherwise(0) if bad is None else F.when(values[k] > bad, -1).otherwise(0) for k, (good, bad) in RULES.items()]
+    return [F.when(values[k] <= good, 1).when(values[k] > bad, -1).otherwise(0) for k, (good, bad) in RULES.items()]
 
 
-def logit(p: float) -> float:
-    return math.log(p / (1 - p))
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[dict[int, float]]]:
+    """(log odds of good before any vote, for each rule what each of its votes adds) from vote patterns and how many documents have each.
 
-
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """(share of good texts, accuracy of each rule's votes) from vote patterns and how many documents have each.
-
-    A text's log odds of being good are those of the share, and for each vote what its accuracy adds to that. Votes that come alone
-    carry no news of their own accuracy, so without more the estimates could wander off: the prior guesses weigh as much as the
-    votes. At first, a text which any rule calls bad is bad.
+    Expectation: a text's probability of being good from the share of good texts and each rule's rates of votes by class. Maximisation: the share and
+    the rates from those probabilities. No rate has a floor, and a bad vote of a rule that is often wrong about good texts counts for little.
     """
-    guess = [(n, 0.03 if -1 in pattern else 0.97) for pattern, n in patterns]
-    share, accuracy = PRIOR_SHARE, [PRIOR_ACCURACY] * len(RULES)
-    total = sum(n for _, n in patterns)
-    cast = [sum(n for pattern, n in patterns if pattern[k]) for k in range(len(RULES))]
-    for _ in range(rounds if total else 0):
-        right = [sum(n * (p if pattern[k] > 0 else 1 - p) for (pattern, _), (n, p) in zip(patterns, guess) if pattern[k]) for k in range(len(RULES))]
-        share = (sum(n * p for n, p in guess) + total * PRIOR_SHARE) / (2 * total)
-        # no vote speaks for the opposite of what it says
-        least = [share if bad is None else 1 - share for _, bad in RULES.values()]
-        accuracy = [min(max((r + c * PRIOR_ACCURACY) / (2 * c) if c else PRIOR_ACCURACY, low), SURE) for r, c, low in zip(right, cast, least)]
-        guess = [(n, posterior(pattern, share, accuracy)) for pattern, n in patterns]
-    return share, accuracy
-
-
-def evidence(share: float, accuracy: list[float]) -> list[float]:
-    """What each rule's vote adds to the log odds of good."""
-    return [(logit(a) if bad is None else -logit(a)) - logit(share) for a, (_, bad) in zip(accuracy, RULES.values())]
-
-
-def posterior(pattern: tuple[int, ...], share: float, accuracy: list[float]) -> float:
-    x = logit(share) + sum(e for v, e in zip(pattern, evidence(share, accuracy)) if v)
-    return 1 / (1 + math.exp(-x))
-
-
-def posterior_column(names: list[str], share: float, accuracy: list[float]) -> Column:
-    x = F.lit(logit(share))
-    for n, e in zip(names, evidence(share, accuracy)):
-        x = x + F.when(F.col(n) != 0, F.lit(e)).otherwise(F.lit(0.0))
+    guess = [GUESS[0] if sum(pattern) < 0 else GUESS[1] if -1 in pattern else GUESS[2] for pattern, _ in patterns]
+    for _ in range(rounds):
+        weight = {True: [n * p for (_, n), p in zip(patterns, guess)], False: [n * (1 - p) for (_, n), p in zip(patterns, guess)]}
+        texts = {c: sum(w) + PRIOR_TEXTS[c] for c, w in weight.items()}
+        start, rules = math.log(texts[True] / texts[False]), []
+        for k in range(len(RULES)):
+            counts = {c: dict(zip(VOTES, PRIOR[c])) for c in weight}
+            for c, own in weight.items():
+                for (pattern, _), w in zip(patterns, own):
+                    counts[c][pattern[k]] += w
+            total = {c: sum(x.values()) for c, x in counts.items()}
+            rules.append({v: math.log(counts[True][v] / total[True]) - math.log(counts[False][v] / total[False]) for v in VOTES})
+        before, guess = guess, [posterior(pattern, start, rules) for pattern, _ in patterns]
+        if all(abs(a - b) < ENOUGH for a, b in zip(before, guess)):
+            break
+    return start, rules
+
+
+def posterior(pattern: tuple[int, ...], start: float, rules: list[dict[int, float]]) -> float:
+    x = start + sum(r[v] for v, r in zip(pattern, rules))
+    return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+
+
+def posterior_column(names: list[str], start: float, rules: list[dict[int, float]]) -> Column:
+    x = F.lit(start)
+    for n, r in zip(names, rules):
+        x = x + F.when(F.col(n) > 0, F.lit(r[1])).when(F.col(n) < 0, F.lit(r[-1])).otherwise(F.lit(r[0]))
     return 1 / (1 + F.exp(-x))
 
 
@@ -151,9 +148,8 @@ def judged(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame
     own = [f"__v{k}" for k in range(len(RULES))]
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     voted = written(rows.select(*names.values(), *base, *(v.alias(o) for v, o in zip(votes(), own))), "votes")
-    counted = voted.groupBy(*own).count().collect()  # at most 2 ** rules rows
-    share, accuracy = estimate(sorted((tuple(r)[:-1], r["count"]) for r in counted))
-    good = posterior_column(own, share, accuracy)
+    counted = voted.groupBy(*own).count().collect()  # at most 3 ** rules rows
+    good = posterior_column(own, *estimate(sorted((tuple(r)[:-1], r["count"]) for r in counted)))
     return voted.select(*(F.col(n).alias(c) for c, n in names.items()), *base, base_failed().alias("base_failed"), good.alias("posterior"), (~base_failed() & (good >= KEEP)).alias("kept"))
 
 

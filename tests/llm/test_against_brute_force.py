@@ -80,12 +80,40 @@ def test_quality_rules(corpus):
         assert not (r.kept and r.base_failed)
 
 
-def test_quality_rules_estimate():
-    share, accuracy = quality_rules.estimate([((0,) * 8 + (1, 1), 900), ((-1,) + (0,) * 7 + (0, 1), 60), ((-1, -1) + (0,) * 8, 40)])
-    assert quality_rules.posterior((0,) * 8 + (1, 1), share, accuracy) > 0.9
-    assert quality_rules.posterior((0,) * 10, share, accuracy) > 0.5
-    assert quality_rules.posterior((-1,) + (0,) * 7 + (0, 1), share, accuracy) < 0.5
-    assert quality_rules.estimate([])[0] == quality_rules.PRIOR_SHARE
+def plain_em(votes: np.ndarray) -> np.ndarray:
+    """Posteriors of rows of votes, row by row and without patterns, after many rounds."""
+    p = np.where(votes.sum(1) < 0, 0.05, np.where((votes < 0).any(1), 0.5, 0.95))
+    for _ in range(400):
+        odds = np.log((p.sum() + 8) / ((1 - p).sum() + 2)) * np.ones(len(p))
+        for column in votes.T:
+            good = np.array([p[column == v].sum() for v in (-1, 0, 1)]) + (0.5, 1.5, 8)
+            bad = np.array([(1 - p)[column == v].sum() for v in (-1, 0, 1)]) + (4, 2, 4)
+            odds += (np.log(good / good.sum()) - np.log(bad / bad.sum()))[column + 1]
+        p = 1 / (1 + np.exp(-odds))
+    return p
+
+
+def test_quality_rules_posterior(spark):
+    """Against plain expectation-maximisation, and: it isn't all-must-pass."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = quality_rules.judged(docs).toPandas().sort_values("doc_id")
+    rows = quality_rules.base_columns(docs, ("doc_id",)).select("doc_id", *(v.alias(f"v{k}") for k, v in enumerate(quality_rules.votes()))).toPandas().sort_values("doc_id")
+    votes = rows[[c for c in rows if c != "doc_id"]].to_numpy(int)
+    assert np.allclose(got.posterior, plain_em(votes), atol=1e-6)
+    assert (got.kept == (~got.base_failed & (got.posterior >= 0.5))).all()
+    passed = ~got.base_failed.to_numpy() & (votes >= 0).all(1)
+    assert (passed != got.kept.to_numpy()).any()
+
+
+def test_quality_rules_outvoted():
+    """A rule that calls a third of the good texts bad, and one that is right: the first decides nothing alone."""
+    n = len(quality_rules.RULES)
+    good, noisy, bad = (1,) * n, (-1, *(1,) * (n - 1)), (-1, -1, -1, *(0,) * (n - 3))
+    start, rules = quality_rules.estimate([(good, 600), (noisy, 300), (bad, 100)])
+    assert quality_rules.posterior(noisy, start, rules) > 0.5 > quality_rules.posterior(bad, start, rules)
+    only = quality_rules.estimate([(good, 900), ((0, *(1,) * (n - 1)), 100)])
+    assert quality_rules.posterior((0, *(1,) * (n - 1)), *only) > 0.5
+    quality_rules.estimate([])
 
 
 def brute_roots(near: np.ndarray) -> np.ndarray:
