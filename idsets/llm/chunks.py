@@ -47,9 +47,7 @@ class FlatCache:
 
     def lists_of(self, chunks: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, sizes, values) of the list of each chunk; chunks must differ."""
-        found = pc.index_in(chunks, value_set=self.known).to_numpy(zero_copy_only=False) if len(self.known) else np.full(len(chunks), np.nan)
-        absent = np.isnan(found) if found.dtype.kind == "f" else np.zeros(len(found), bool)
-        at = np.where(absent, 0, found).astype(np.int64)
+        at, absent = places(chunks, self.known)
         sizes, values = self.sizes, self.values
         if absent.any():
             new = chunks.filter(pa.array(absent))
@@ -61,6 +59,31 @@ class FlatCache:
         return (np.cumsum(sizes) - sizes)[at], sizes[at], values
 
 
+class RowCache:
+    """ChunkCache for rows of numbers, in flat arrays."""
+
+    def __init__(self, encode: Callable[[list[bytes]], np.ndarray], most: int, width: int):
+        self.encode, self.most, self.known, self.rows = encode, most, pa.array([], pa.binary()), np.zeros((0, width))
+
+    def rows_of(self, chunks: pa.BinaryArray) -> np.ndarray:
+        """The row of each chunk; chunks must differ."""
+        at, absent = places(chunks, self.known)
+        if not absent.any():
+            return self.rows[at]
+        new = chunks.filter(pa.array(absent))
+        rows = np.concatenate([self.rows, self.encode(new.to_pylist())])
+        at[absent] = len(self.rows) + np.arange(len(new))
+        if len(rows) <= self.most:
+            self.known, self.rows = pa.concat_arrays([self.known, new]), rows
+        return rows[at]
+
+
+def places(chunks: pa.BinaryArray, known: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each chunk in known, whether it isn't there)."""
+    found = pc.index_in(chunks, value_set=known)
+    return pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64), found.is_null().to_numpy(zero_copy_only=False)
+
+
 def coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, pa.BinaryArray]:
     """(number of each chunk, the different chunks). Chunks start at `starts` and reach to `ends`, or to the next start."""
     if not len(starts):

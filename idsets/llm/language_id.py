@@ -5,13 +5,13 @@ of a word, the end mark included, a probability after up to four characters befo
 interpolated with those of the shorter ones, where counts below the longest are of different characters in front.
 The tables are sorted arrays of n-gram hashes with a row of values for all languages. A text's language is that with
 the lowest cross-entropy for a character; the score is its posterior probability at a temperature that is fitted on
-documents kept out of the counts, and `rejected` says that the cross-entropy is beyond what those show.
+documents kept out of the counts, and `rejected` says that the cross-entropy is beyond what at most REJECT of texts like those reach.
 
 Models come from a bounded sample of the labelled rows: about `sample` documents of a language, chosen by hash, and all of a language with fewer; that is the
 parameter of the fit. Every lang of a labelled row with a letter has a model, however rare it is. All rows are scored over whole texts, each different word of a worker's texts once.
 
 Null texts and texts without a letter are `und` with score 0; equal cross-entropies go to the first language by name;
-a null lang teaches nothing; without a labelled row all texts are `und`; repeated rows each get their result; columns beside doc_id and
+a null lang teaches nothing; without a labelled row all texts are `und`; a text of any length is summed word by word; repeated rows each get their result; columns beside doc_id and
 text (lang where it learns) play no part.
 """
 
@@ -27,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache, numbered
-from .common import slices, split_of, text_bytes
+from .chunks import RowCache, coded, numbered
+from .common import slices, split_of, text_bytes, worker_state
 
 ORDER = 5
 #: Documents of a language in the fit, about.
 SAMPLE = 600
+#: The share of texts in a known language that may be rejected.
+REJECT = 0.01
 START, END = "\x02", "\x03"
-CACHE = 400_000
+#: Entries a worker keeps; see RowCache.
+CACHE = 1_000_000
 NONE = "und"
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -151,16 +154,13 @@ def _rows(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: flo
     return np.where((keys[at] == wanted)[:, None], values[at], missing)
 
 
-_own: dict[str, ChunkCache] = {}
-
-
 def _entropies(docs: DataFrame, model: KneserNey, columns: tuple[str, ...]) -> DataFrame:
     """`columns`, chars and entropy: the cross-entropy for a character in each language, in order of the model's languages."""
     kinds = dict(docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample's
     size = len(model.langs)
 
-    def encode(chunks: list[bytes]) -> list[tuple]:
+    def encode(chunks: list[bytes]) -> np.ndarray:
         model = shared.value
         words = [words_of(c) for c in chunks]
         flat = [w for ws in words for w in ws]
@@ -170,19 +170,16 @@ def _entropies(docs: DataFrame, model: KneserNey, columns: tuple[str, ...]) -> D
             logs, chars = model.scores(part)
             owner = np.repeat(np.arange(len(words)), [len(ws) for ws in words])[k : k + 20_000]
             np.add.at(out, owner, np.column_stack([logs, chars]))
-        return list(map(tuple, out.tolist()))
+        return out
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.value.key
-        if key not in _own:
-            _own.clear()
-            _own[key] = ChunkCache(encode, CACHE)
+        cache = worker_state(("languages", shared.value.key), lambda: RowCache(encode, CACHE, size + 1))
         for whole in batches:
             for batch in slices(whole, "text"):
                 at, data = text_bytes(batch.column("text"))
                 starts, ends = chunks_of(at, data)
-                codes, chunks = numbered(data, starts, ends)
-                rows = np.array(_own[key].entries_of(chunks)).reshape(len(chunks), size + 1)
+                codes, chunks = coded(data, starts, ends)
+                rows = cache.rows_of(chunks)
                 total = np.concatenate([np.zeros((1, size + 1)), np.cumsum(rows[codes], axis=0)])
                 firsts = np.searchsorted(starts, at)
                 sums = total[firsts[1:]] - total[firsts[:-1]]
@@ -221,15 +218,14 @@ def fit(docs: DataFrame, learn: F.Column, sample: int = SAMPLE) -> tuple[KneserN
 
     counts: dict[str, Counter] = {}
     parts = drawn.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("apart").alias("apart")).collect()
-    few = sum(r.n for r in parts) < 40
     # a language whose rows are all kept apart learns from them too
-    taught = F.lit(few) | ~F.col("apart") | F.col("lang").isin([r.lang for r in parts if r.n == r.apart])
+    taught = ~F.col("apart") | F.col("lang").isin([r.lang for r in parts if r.n == r.apart])
     for r in drawn.filter(taught).mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():  # the words of the sample
         counts.setdefault(r.lang, Counter())[r.word] = r.n
     if not counts:
         return None
     model = KneserNey(counts)
-    checked = [r for r in _entropies(drawn.filter(F.lit(few) | F.col("apart")), model, ("lang",)).collect() if r.chars and r.lang in counts]
+    checked = [r for r in _entropies(drawn.filter("apart"), model, ("lang",)).collect() if r.chars and r.lang in counts]
     temperature, usual = 1.0, [float("inf")] * len(model.langs)
     if checked:
         entropy, chars = np.array([r.entropy for r in checked]), np.array([r.chars for r in checked])
@@ -240,13 +236,18 @@ def fit(docs: DataFrame, learn: F.Column, sample: int = SAMPLE) -> tuple[KneserN
             z -= z.max(1, keepdims=True)
             losses[float(t)] = float((np.log(np.exp(z).sum(1)) - z[np.arange(len(truth)), truth]).mean())
         temperature = min(losses, key=lambda t: (losses[t], -t))
-        for k in range(len(model.langs)):
-            own = entropy[truth == k, k]
-            if len(own) >= 5:
-                usual[k] = float(own.mean() + 6 * own.std())
+        usual = limits(entropy[np.arange(len(truth)), truth], truth, len(model.langs))
     return model, temperature, usual
 
 
+def limits(entropy: np.ndarray, truth: np.ndarray, size: int) -> list[float]:
+    """For each language the cross-entropy that at most REJECT of its texts exceed: its mean, and over all languages the rank of what is beyond the means that promises this for one more text. Too few texts promise nothing, and the limits are infinite."""
+    mean = [float(entropy[truth == k].mean()) if (truth == k).any() else float(entropy.mean()) for k in range(size)]
+    beyond = np.sort(entropy - np.array(mean)[truth])
+    rank = int(np.ceil((len(beyond) + 1) * (1 - REJECT)))
+    return [m + float(beyond[rank - 1]) for m in mean] if rank <= len(beyond) else [float("inf")] * size
+
+
 def identify(docs: DataFrame, fitted: tuple[KneserNey, float, list[float]] | None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`columns`, lang_pred, score and rejected of each row."""
     if fitted is None:

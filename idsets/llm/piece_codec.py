@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkCache, numbered
-from .common import slices, text_bytes
+from .common import slices, text_bytes, worker_state
 
 MARK = "▁"
 #: Entries a worker keeps; see ChunkCache.
@@ -150,18 +150,15 @@ def starts_of(at: np.ndarray, data: np.ndarray, cross: np.ndarray) -> np.ndarray
     return np.flatnonzero(first)
 
 
-_own: dict[int, tuple[PieceCodec, ChunkCache]] = {}
-
-
 def _worker(vocabulary) -> tuple[PieceCodec, ChunkCache]:
     """A worker's codec and cache, kept from task to task while the vocabulary is the same."""
     pieces = vocabulary.value
-    key = hash(tuple(pieces["pieces"].items()))
-    if key not in _own:
-        _own.clear()
+
+    def make() -> tuple[PieceCodec, ChunkCache]:
         codec = PieceCodec(pieces)
-        _own[key] = codec, ChunkCache(lambda chunks: [codec.entry(c) for c in chunks], CACHE)
-    return _own[key]
+        return codec, ChunkCache(lambda chunks: [codec.entry(c) for c in chunks], CACHE)
+
+    return worker_state(("pieces", hash(tuple(pieces["pieces"].items()))), make)
 
 
 def encode_decode(docs: DataFrame, model_path: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

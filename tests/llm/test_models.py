@@ -35,6 +35,83 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def plain_kneser_ney(counts, base):
+    """Log probabilities of words, from the definitions and dictionaries alone."""
+    from collections import defaultdict
+
+    seen = defaultdict(float)
+    for w, n in counts.items():
+        s = language_id.START + w + language_id.END
+        for end in range(1, len(s)):
+            seen[s[max(0, end - 4) : end + 1] if end >= 4 else s[: end + 1]] += 0
+            for size in range(1, 6):
+                if end - size + 1 >= 0:
+                    seen[s[end - size + 1 : end + 1]] += n
+    tables = {}
+    for size in range(5, 0, -1):
+        own = {g: c for g, c in seen.items() if len(g) == size}
+        if size < 5:
+            fronts = defaultdict(set)
+            for g in seen:
+                if len(g) == size + 1:
+                    fronts[g[1:]].add(g[0])
+            own = {g: float(len(fronts[g])) if fronts.get(g) else c for g, c in own.items()}
+        ones, twos = sum(c == 1 for c in own.values()), sum(c == 2 for c in own.values())
+        d = min(max(ones / (ones + 2 * twos) if ones and twos else 0.5, 0.1), 0.9)
+        total, kinds = defaultdict(float), defaultdict(int)
+        for g, c in own.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        tables[size] = own, d, total, kinds
+
+    def probability(history, c, size):
+        if size == 0:
+            return base
+        history = history[-(size - 1) :] if size > 1 else ""
+        if len(history) < size - 1:
+            return probability(history, c, len(history) + 1)
+        own, d, total, kinds = tables[size]
+        lower = probability(history, c, size - 1)
+        if history not in total:
+            return lower
+        return max(own.get(history + c, 0) - d, 0) / total[history] + min(d * kinds[history] / total[history], 1.0) * lower if history + c in own else min(d * kinds[history] / total[history], 1.0) * lower
+
+    def word(w):
+        s = language_id.START + w + language_id.END
+        return sum(np.log(probability(s[:end], s[end], 5)) for end in range(1, len(s)))
+
+    return word
+
+
+def test_language_model_against_definition():
+    import random
+    from collections import Counter
+
+    r = random.Random(2)
+    words = lambda letters, n: Counter("".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(n))
+    counts = {"a": words("abcé", 300), "b": words("bcd", 200)}
+    model = language_id.KneserNey(counts)
+    probes = [*list(counts["a"])[:20], "abba", "dddd", "zz", "é", "bcdbcdbcdbcd"]
+    got, chars = model.scores(probes)
+    for k, lang in enumerate(model.langs):
+        plain = plain_kneser_ney(counts[lang], model.base)
+        assert np.allclose(got[:, k], [plain(w) for w in probes], rtol=1e-5)
+    assert chars.tolist() == [len(w) + 1 for w in probes]
+
+
+def test_rejection_is_calibrated(spark):
+    r = np.random.default_rng(1)
+    entropy, truth = r.normal(2, 0.1, 20_000), r.integers(0, 3, 20_000)
+    limits = np.array(language_id.limits(entropy[:10_000], truth[:10_000], 3))
+    assert 0.005 < (entropy[10_000:] > limits[truth[10_000:]]).mean() < 0.015
+    assert language_id.limits(entropy[:20], truth[:20], 3) == [float("inf")] * 3
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fitted = language_id.fit(docs, F.lit(True))
+    strange = spark.createDataFrame([(1, "zzxq kjwqv wwzzk xqjvq pzkwx " * 9), (2, "Жизнь прекрасна и удивительна")], "doc_id bigint, text string")
+    assert all(x.rejected for x in language_id.identify(strange, fitted).collect())
+    assert language_id.identify(docs, fitted).filter("rejected AND lang_pred <> 'und'").count() <= 0.05 * docs.count()
+
+
 def test_rare_languages_are_learned(spark):
     """Languages of one row in 20,000; the texts of some are kept apart by their hash."""
     alphabets = {f"x{k}": "".join(chr(0x1000 + 100 * k + c) for c in range(20)) for k in range(16)}
