@@ -192,3 +192,43 @@ def test_license_scan(spark):
         "a/LICENSE": ("MIT", "MIT", None), "a/b/c.py": (None, "GPL-3.0", "a/b"), "a/b/COPYING": ("GPL-3.0", "GPL-3.0", None), "a/b/d/e.py": (None, "GPL-3.0", "a/b"),
         "f.py": ("MPL-2.0", "MPL-2.0", None), None: (None, None, None), "q": (None, None, None), "z/y/x.py": (None, None, None),
     }
+
+
+def plain_licences(texts):
+    """The best licence of every text, over all of its lines, runs of lines and paragraphs, without any gate."""
+    import math
+    from collections import Counter
+
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    holds = [set(words(t or "")) for t in texts]
+    weight = lambda t: math.log1p((len(texts) + 1) / (sum(t in h for h in holds) + 1)) if t in known else math.log1p(len(texts) + 1)
+    vectors = [(name, Counter(words(t))) for name, ts in license_scan.TEMPLATES.items() for t in ts]
+    known = {t for _, c in vectors for t in c}
+    weights = {t: weight(t) for t in known}
+    rest = math.log1p(len(texts) + 1)
+    out = []
+    for text in texts:
+        lines = (text or "").split("\n")
+        pieces = {" ".join(lines[k : k + n]) for k in range(len(lines)) for n in (1, 2, 3)} | set(re.split(r"\n[ \t\r]*\n", text or ""))
+        best = (0.0, None)
+        for p in pieces:
+            c = {t: n * weights.get(t, rest) for t, n in Counter(words(p)).items()}
+            size = math.sqrt(sum(v * v for v in c.values()))
+            for name, own in vectors:
+                v = {t: n * weights[t] for t, n in own.items()}
+                dot = sum(v[t] * c.get(t, 0) for t in v)
+                if dot and (x := round(dot / size / math.sqrt(sum(y * y for y in v.values())), 9)) >= license_scan.LEAST:
+                    best = min(best, (-x, name), key=lambda z: (z[0], z[1] or ""))
+        out.append(best[1])
+    return out
+
+
+def test_license_scan_against_plain_cosine(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    texts += [t for ts in license_scan.TEMPLATES.values() for t in ts]
+    texts += ["code\n# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0\nmore code", "x = 1\n" * 40 + "Unauthorized copying of this file is strictly\nprohibited, proprietary and confidential", "the of and this is", None, ""]
+    got = license_scan.document_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    want = plain_licences(texts)
+    assert [r.licence for r in got] == want
+    assert want[-5:] == ["MPL-2.0", "Proprietary", None, None, None]
+    assert all(r.licence_from is None for r in got)
