@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 32_768
+#: Rows that are extracted together.
+TOGETHER = 64
 
 
 def construct(ids: DataFrame) -> DataFrame:
@@ -53,9 +55,27 @@ def extract(bitmap: DataFrame) -> DataFrame:
     """The ids of the set bits."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, bits in zip(batch.column("bucket").to_pylist(), batch.column("bits").to_pylist()):
-                at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
-                yield pa.RecordBatch.from_arrays([pa.array((bucket - 1) * SPAN + at + 1 if bucket > 0 else bucket * SPAN - at)], ["id"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(k, TOGETHER)
+                bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                row, at = np.nonzero(np.unpackbits(bits, axis=1, bitorder="little"))
+                bucket = batch.column("bucket").to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(bucket > 0, (bucket - 1) * SPAN + at + 1, bucket * SPAN - at))], ["id"])
 
     return bitmap.select("bucket", "bits").mapInArrow(apply, "id bigint")
+
+
+def members(bitmap: DataFrame, probes: DataFrame, column: str = "id") -> DataFrame:
+    """probes with a boolean column member: the bit of each id is tested in its bucket's row."""
+    place = F.bitmap_bit_position(F.col(column))
+    # bytes are taken as two hexadecimal digits: substr of a binary is a binary
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    hit = F.shiftright(byte, 0).bitwiseAND(F.expr(f"shiftleft(1L, CAST(bitmap_bit_position({column}) % 8 AS int))")) != 0
+    rows = probes.withColumn("__bucket", F.bitmap_bucket_number(F.col(column))).join(bitmap.select(F.col("bucket").alias("__bucket"), "bits"), "__bucket", "left")
+    return rows.withColumn("member", F.coalesce(hit, F.lit(False))).drop("__bucket", "bits")
+
+
+def word_ranges(ids: DataFrame, parts: int) -> DataFrame:
+    """(word_idx, word) in `parts` partitions, each a range of words in their order."""
+    return words(ids).repartitionByRange(parts, "word_idx").sortWithinPartitions("word_idx")

@@ -23,12 +23,13 @@ def signed(id_: int) -> int:
 class IdSet:
     """Each operation returns a new set; none runs a job but count, has, ids and choose."""
 
-    def __init__(self, df: DataFrame, origin: tuple[DataFrame, str, Column] | None = None):
+    def __init__(self, df: DataFrame, origin: tuple[DataFrame, str, Column] | None = None, repeated: DataFrame | None = None):
         """df: column id, distinct and without nulls. See from_column where that isn't so yet.
 
         origin: the table, key and predicate that the set is a facet of, if the key is unique there; facets of one table combine without a join.
+        repeated: the same ids before repeats went. Where a set only tests or feeds a later distinct, that is enough, and no aggregate is spent on it.
         """
-        self.df, self.origin = df, origin
+        self.df, self.origin, self.repeated = df, origin, repeated if repeated is not None else df
 
     # building
 
@@ -37,13 +38,14 @@ class IdSet:
         """The values of a column. unique: they are known to be distinct, so no shuffle is spent on that."""
         c = F.col(column) if isinstance(column, str) else column
         ids = df.select(c.cast("bigint").alias("id")).filter("id IS NOT NULL")
-        return cls(ids if unique else ids.distinct())
+        return cls(ids) if unique else cls(ids.distinct(), repeated=ids)
 
     @classmethod
     def facet(cls, df: DataFrame, predicate: Column | str, id_column: str, unique: bool = False) -> IdSet:
         """The ids of the rows for which a predicate holds; predicate and column reach the scan."""
         test = F.expr(predicate) if isinstance(predicate, str) else predicate
-        return cls(cls.from_column(df.filter(test), id_column, unique).df, (df, id_column, test) if unique else None)
+        own = cls.from_column(df.filter(test), id_column, unique)
+        return cls(own.df, (df, id_column, test) if unique else None, own.repeated)
 
     def _same_table(self, other: IdSet) -> bool:
         return self.origin is not None and other.origin is not None and self.origin[0] is other.origin[0] and self.origin[1] == other.origin[1]
@@ -90,7 +92,7 @@ class IdSet:
     def search(self, batch: DataFrame, ordinal: str = "ordinal", column: str = "id") -> DataFrame:
         """(ordinal, id) of the batch's ids in the set: each once, at its first place, in the order of the batch."""
         first = batch.groupBy(F.col(column).alias("id")).agg(F.min(ordinal).alias("ordinal"))
-        return first.join(self.df, "id", "left_semi").select("ordinal", "id").orderBy("ordinal")
+        return first.join(self.repeated, "id", "left_semi").select("ordinal", "id").orderBy("ordinal")
 
     # algebra
 
@@ -103,26 +105,28 @@ class IdSet:
                 sets.append(s)
             else:
                 sets[at] = sets[at]._refaceted(sets[at].origin[2] & s.origin[2])
-        first, *rest = sets
-        return IdSet(reduce(lambda a, b: a.join(b.df, "id", "left_semi"), rest, first.df), None if rest else first.origin)
+        # the set that the others filter is one without repeats, if there is one
+        at = next((k for k, s in enumerate(sets) if s.repeated is s.df), 0)
+        first, rest = sets[at], sets[:at] + sets[at + 1 :]
+        return IdSet(reduce(lambda a, b: a.join(b.repeated, "id", "left_semi"), rest, first.df), None if rest else first.origin)
 
     def intersect_dense(self, *others: IdSet) -> IdSet:
         """The same by bitmaps: shuffles a row for each 32,768 ids that lie together instead of the ids."""
         return IdSet(bitmaps.extract(bitmaps.intersect([bitmaps.construct(s.df) for s in (self, *others)])))
 
     def intersect_auto(self, *others: IdSet) -> IdSet:
-        """The same by what planner.choose says, which takes the sets' sizes in one job; semi-joins begin with the smallest set."""
-        sets = [self, *others]
-        plan = planner.choose([s.df for s in sets])
-        if plan.dense:
-            return self.intersect_dense(*others)
-        first, *rest = (sets[k] for k in plan.order)
+        """The same by what planner.cheapest says. The sets are read once, into a table that has their sizes and that the plan reads; semi-joins begin with the smallest set."""
+        sets = planner.gathered([s.df for s in (self, *others)])
+        dense, order = planner.cheapest(sets)
+        if dense:
+            return IdSet(bitmaps.extract(bitmaps.intersect([bitmaps.construct(s) for s in sets])))
+        first, *rest = (IdSet(sets[k]) for k in order)
         return first.intersect(*rest)
 
     def union(self, *others: IdSet) -> IdSet:
         if others and all(self._same_table(s) for s in others):
             return self._refaceted(reduce(lambda p, s: p | s.origin[2], others, self.origin[2]))
-        return IdSet(reduce(lambda a, b: a.unionByName(b), (s.df for s in others), self.df).distinct()) if others else self
+        return IdSet.from_column(reduce(lambda a, b: a.unionByName(b), (s.repeated for s in others), self.repeated)) if others else self
 
     def difference(self, *others: IdSet) -> IdSet:
         out = self
@@ -130,7 +134,7 @@ class IdSet:
             if out._same_table(s):
                 out = out._refaceted(out.origin[2] & ~F.coalesce(s.origin[2], F.lit(False)))
             else:
-                out = IdSet(out.df.join(s.df, "id", "left_anti"))
+                out = IdSet(out.df.join(s.repeated, "id", "left_anti"))
         return out
 
     def filter(self, mask: IdSet) -> IdSet:

@@ -41,21 +41,30 @@ class Ring:
         Each part of the ring, by a hash's first bits, has the list of its points and the first beyond; an equi-join with those few parts finds the
         list, and the first point that isn't below the hash is the owner's.
         """
-        if not self.points:
-            return ids.withColumn(owner, F.lit(None).cast("string"))
-        keys = [p for p, _ in self.points]
-        parts = []
+        return routes(ids, {owner: self}, column)
+
+    def parts(self) -> list[list[tuple[int, str | None]]]:
+        """For each part of the ring its points, in unsigned order as signed numbers, and the first beyond."""
+        keys, out = [p for p, _ in self.points], []
         for part in range(1 << PART_BITS):
             a, b = (bisect_left(keys, x << (64 - PART_BITS)) for x in (part, part + 1))
-            own = [(p - (1 << 63), n) for p, n in self.points[a:b]]  # in unsigned order as signed numbers
-            parts.append((part, [*own, ((1 << 63) - 1, self.points[b % len(self.points)][1])]))
-        spark = ids.sparkSession
-        table = spark.createDataFrame(parts, "__part int, __points array<struct<at:bigint,node:string>>")
-        hashed = ids.withColumn("__hash", fnv1a_id(F.col(column))).withColumn("__part", F.shiftrightunsigned("__hash", 64 - PART_BITS).cast("int"))
-        key = unsigned.order_key(F.col("__hash"))
-        # 4096 rows whatever the ids, and a point list each
-        found = hashed.join(F.broadcast(table), "__part").withColumn(owner, F.get(F.filter("__points", lambda p: p["at"] >= key), 0)["node"])
-        return found.drop("__hash", "__part", "__points")
+            beyond = self.points[b % len(self.points)][1] if self.points else None
+            out.append([*((p - (1 << 63), n) for p, n in self.points[a:b]), ((1 << 63) - 1, beyond)])
+        return out
+
+
+def routes(ids: DataFrame, rings: dict[str, Ring], column: str = "id") -> DataFrame:
+    """ids with a column for each ring, the id's owner there: one hash and one join for all of them."""
+    lists = [r.parts() for r in rings.values()]
+    kind = "array<struct<at:bigint,node:string>>"
+    table = ids.sparkSession.createDataFrame([(part, *own) for part, own in enumerate(zip(*lists))], ", ".join(["__part int", *(f"__points{k} {kind}" for k in range(len(lists)))]))
+    hashed = ids.withColumn("__hash", fnv1a_id(F.col(column))).withColumn("__part", F.shiftrightunsigned("__hash", 64 - PART_BITS).cast("int"))
+    key = unsigned.order_key(F.col("__hash"))
+    # 4096 rows whatever the ids, and a point list for each ring
+    found = hashed.join(F.broadcast(table), "__part", "left")
+    for k, name in enumerate(rings):
+        found = found.withColumn(name, F.get(F.filter(f"__points{k}", lambda p: p["at"] >= key), 0)["node"])
+    return found.drop("__hash", "__part", *(f"__points{k}" for k in range(len(lists))))
 
 
 def balance(routed: DataFrame, owner: str = "owner") -> DataFrame:
@@ -68,8 +77,8 @@ def max_share(routed: DataFrame, owner: str = "owner") -> DataFrame:
 
 
 def remapped(ids: DataFrame, before: Ring, after: Ring, column: str = "id") -> DataFrame:
-    """total and moved: the ids whose owner differs. Both routes are found in one pass."""
-    both = after.route(before.route(ids, column, "old"), column, "new")
+    """total and moved: the ids whose owner differs. Both routes are found by one hash and one join."""
+    both = routes(ids, {"old": before, "new": after}, column)
     return both.agg(F.count("*").alias("total"), F.sum((F.col("old") != F.col("new")).cast("bigint")).alias("moved"))
 
 

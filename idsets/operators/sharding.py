@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idsets.operators.idset import IdSet
+from idsets.functions.unsigned import order_key
+from idsets.operators import bitmaps
+from idsets.operators.idset import IdSet, signed
 
 
 @dataclass(frozen=True)
@@ -30,10 +32,18 @@ class Shape:
         return self.bits // 64
 
     def shard_of(self, id_: Column) -> Column:
-        return F.floor(id_ / F.lit(self.bits)).cast("int")
+        """id // bits of unsigned ids. For those from 2 ** 63 on the half is divided, and what that lacks is added."""
+        if self.bits >= 1 << 63:
+            return F.when(id_ < 0, F.lit(int((1 << 63) // self.bits))).otherwise(F.lit(0)).cast("int")
+        whole = lambda a: F.call_function("div", a, F.lit(self.bits).cast("bigint"))
+        half = whole(F.shiftrightunsigned(id_, 1)) * 2
+        rest = id_ - half * F.lit(self.bits)
+        return F.when(id_ >= 0, whole(id_)).otherwise(half + F.when((rest < 0) | (rest >= self.bits), 1).otherwise(0)).cast("int")
 
     def inside(self, id_: Column) -> Column:
-        return (id_ >= 0) & (id_ < self.bits * self.shards)
+        """Whether the unsigned id is below the shards' end."""
+        end = self.bits * self.shards
+        return F.lit(True) if end >= 1 << 64 else order_key(id_) < F.lit(end - (1 << 63))
 
 
 class ShardedSet:
@@ -42,13 +52,13 @@ class ShardedSet:
     def __init__(self, ids: IdSet, shape: Shape):
         self.shape = shape
         i = F.col("id")
-        self.df = ids.df.filter(shape.inside(i)).select(F.expr(f"CAST(id DIV {shape.bits} AS int)").alias("shard"), "id")
+        self.df = ids.df.filter(shape.inside(i)).select(shape.shard_of(i).alias("shard"), "id")
 
     def has(self, id_: int) -> bool:
         """Looks at one shard."""
         if not 0 <= id_ < self.shape.bits * self.shape.shards:
             return False
-        return bool(self.df.filter((F.col("shard") == id_ // self.shape.bits) & (F.col("id") == id_)).take(1))
+        return bool(self.df.filter((F.col("shard") == id_ // self.shape.bits) & (F.col("id") == signed(id_))).take(1))
 
     def counts(self) -> DataFrame:
         """(shard, n) of all shards, empty ones too."""
@@ -70,5 +80,25 @@ class ShardedSet:
             raise ValueError(f"shapes differ: {self.shape} and {other.shape}")
         return self.df.join(other.df, ["shard", "id"], "left_semi").groupBy("shard").agg(F.count("*").alias("n"))
 
+    def intersect_counts_by_mode(self, other: ShardedSet) -> DataFrame:
+        """(shard, modes, n) of the shards with ids in both sets, each counted as its two modes ask: by words where both are dense, by ids otherwise."""
+        if self.shape != other.shape:
+            raise ValueError(f"shapes differ: {self.shape} and {other.shape}")
+        # a row for each shard
+        pairs = self.modes().select("shard", F.col("mode").alias("a")).join(other.modes().select("shard", F.col("mode").alias("b")), "shard").select("shard", F.concat_ws("-", "a", "b").alias("modes"))
+        own, its = (s.df.join(F.broadcast(pairs), "shard") for s in (self, other))
+        dense = F.col("modes") == "dense-dense"
+        words = bitmaps.and_words(bitmaps.words(own.filter(dense)), bitmaps.words(its.filter(dense)))
+        # a word lies in one shard where the width is a number of words
+        split = self.shape.bits % 64
+        if split:
+            dense = F.lit(False)
+        listed = own.filter(~dense).join(its.filter(~dense), ["shard", "id"], "left_semi").groupBy("shard", "modes").agg(F.count("*").alias("n"))
+        if split:
+            return listed
+        first = F.shiftleft("word_idx", 6)
+        counted = words.select(self.shape.shard_of(first).alias("shard"), F.lit("dense-dense").alias("modes"), F.bit_count("word").cast("bigint").alias("n"))
+        return listed.unionByName(counted.groupBy("shard", "modes").agg(F.sum("n").alias("n")))
+
     def intersect_count(self, other: ShardedSet) -> DataFrame:
         return self.intersect_counts(other).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

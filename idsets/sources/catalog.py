@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +44,16 @@ class Catalog:
         return sorted(unquote(n.removeprefix("set_name=")) for n in found if n.startswith("set_name="))
 
     def put(self, name: str, ids: IdSet) -> int:
-        """Writes the set and returns its count."""
-        path, _ = self._folder(name)
-        ids.df.write.mode("overwrite").parquet(path.toString())
+        """Writes the set beside the old one, then renames it into place, and returns its count: a write that fails leaves the old set."""
+        path, files = self._folder(name)
+        beside, old = (f"{self.path}/.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+        ids.df.write.parquet(beside)
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        if files.exists(path) and not files.rename(path, hadoop(old)):
+            raise OSError(f"can't move {path}")
+        if not files.rename(hadoop(beside), path):
+            raise OSError(f"can't move {beside}")
+        files.delete(hadoop(old), True)
         return self.get(name).count()
 
     def get(self, name: str) -> IdSet:
@@ -60,10 +69,11 @@ class Catalog:
 
     def table(self) -> DataFrame:
         """(set_name, id) of all sets."""
-        out = self.spark.createDataFrame([], "set_name string, id bigint")
-        for name in self.names():
-            out = out.unionByName(self.get(name).df.select(F.lit(name).alias("set_name"), "id"))
-        return out
+        if not self.names():
+            return self.spark.createDataFrame([], "set_name string, id bigint")
+        # Spark takes each escaped byte of a folder's name for a character
+        name = F.decode(F.encode("set_name", "ISO-8859-1"), "UTF-8")
+        return self.spark.read.schema("id bigint, set_name string").parquet(self.path).select(name.alias("set_name"), "id")
 
     def list(self) -> DataFrame:
         """(set_name, members), by name."""

@@ -1,4 +1,4 @@
-"""Portable set files, read and written by executors; a folder of them is a catalog of named sets.
+"""Portable set files, read and encoded by executors; a folder of them is a catalog of named sets.
 
 A file is MAGIC, KIND, the number of ids, and the ids in ascending order, integers of eight bytes with the lowest first.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from idsets.functions.unsigned import order_key
 from idsets.operators.idset import IdSet
+from idsets.plans.storage import discard, file_system, written
 
 # Fixed values of the file format.
 MAGIC = b"SXSET1"
@@ -72,11 +73,41 @@ def read_set(spark: SparkSession, path: str) -> IdSet:
     return IdSet(read_files(spark, path, strict=True).select("id"))
 
 
+#: Ids of a block that an executor encodes.
+BLOCK = 1 << 20
+
+
 def write_set(ids: IdSet, path: str) -> None:
-    """One file, written where the driver is, for exchange with other programs: ids come in order, partition by partition. Sets that live in Spark are kept in the catalog."""
-    n = ids.count()
-    with open(path, "wb") as f:
-        f.write(MAGIC + KIND + n.to_bytes(8, "little"))
-        ordered = ids.df.select(order_key(F.col("id")).alias("k")).orderBy("k")
-        for r in ordered.toLocalIterator(prefetchPartitions=True):
-            f.write((r.k + (1 << 63)).to_bytes(8, "little"))
+    """One file, in any file system that Spark knows. Executors sort the ids in ranges and encode them in blocks of BLOCK; the driver puts the blocks one after another."""
+    spark = ids.df.sparkSession
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at, kept, held = TaskContext.get().partitionId(), 0, [], 0
+        for batch in batches:
+            kept.append(batch.column("k").to_numpy().view(np.uint64) ^ np.uint64(1 << 63))
+            held += batch.num_rows
+            if held >= BLOCK:
+                yield _block(part, at, kept)
+                at, kept, held = at + 1, [], 0
+        if held:
+            yield _block(part, at, kept)
+
+    ordered = ids.df.select(order_key(F.col("id")).alias("k")).repartitionByRange("k").sortWithinPartitions("k")
+    blocks = written(ordered.mapInArrow(encoded, "part int, at int, n bigint, bytes binary"), "set_blocks")
+    n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    fs, where = file_system(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(MAGIC + KIND + n.to_bytes(8, "little")))
+        for r in blocks.orderBy("part", "at").toLocalIterator():  # a block at a time
+            out.write(bytearray(r.bytes))
+    finally:
+        out.close()
+    discard(blocks)
+
+
+def _block(part: int, at: int, kept: list[np.ndarray]) -> pa.RecordBatch:
+    ids = np.concatenate(kept)
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([ids.astype("<u8").tobytes()], pa.binary())], ["part", "at", "n", "bytes"])
