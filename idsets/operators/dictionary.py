@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from idsets.functions.hashing import positional_id
 from idsets.operators.idset import IdSet
 from idsets.plans.storage import written
 
@@ -56,6 +57,12 @@ class Keyer:
         return IdSet.from_column(found), terms.join(self.df, "term", "left_anti")
 
 
+    def sizes(self) -> DataFrame:
+        """terms, bytes (of the terms and eight for an id), bits_per_term, and collisions: the terms that share a positional hash with an earlier one. One row."""
+        size = F.sum(F.octet_length("term") + 8)
+        return self.df.agg(F.count("*").alias("terms"), size.alias("bytes"), (F.lit(8.0) * size / F.count("*")).alias("bits_per_term"), (F.count("*") - F.countDistinct(positional_id(F.col("term")))).alias("collisions"))
+
+
 class Index:
     """Keys <-> dense ids: a DataFrame (key, dense_id). Lookups are exact: absent keys give null."""
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idsets.functions.unsigned import order_key
+from idsets.functions.unsigned import order_key, shown
 from idsets.operators import bitmaps
 from idsets.operators.idset import IdSet, signed
 
@@ -32,13 +32,11 @@ class Shape:
         return self.bits // 64
 
     def shard_of(self, id_: Column) -> Column:
-        """id // bits of unsigned ids. For those from 2 ** 63 on the half is divided, and what that lacks is added."""
+        """id // bits of unsigned ids: those from 2 ** 63 on are divided as decimals."""
         if self.bits >= 1 << 63:
-            return F.when(id_ < 0, F.lit(int((1 << 63) // self.bits))).otherwise(F.lit(0)).cast("int")
-        whole = lambda a: F.call_function("div", a, F.lit(self.bits).cast("bigint"))
-        half = whole(F.shiftrightunsigned(id_, 1)) * 2
-        rest = id_ - half * F.lit(self.bits)
-        return F.when(id_ >= 0, whole(id_)).otherwise(half + F.when((rest < 0) | (rest >= self.bits), 1).otherwise(0)).cast("int")
+            return F.when(id_ < 0, F.lit((1 << 63) // self.bits)).otherwise(F.lit(0)).cast("int")
+        beyond = F.call_function("div", shown(id_), F.lit(str(self.bits)).cast("decimal(20,0)"))
+        return F.when(id_ >= 0, F.call_function("div", id_, F.lit(self.bits).cast("bigint"))).otherwise(beyond).cast("int")
 
     def inside(self, id_: Column) -> Column:
         """Whether the unsigned id is below the shards' end."""

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idsets.functions import hashing, unsigned
+from idsets.functions import hashing, sql, unsigned
 from idsets.operators import bitmaps, terms
-from idsets.operators.dictionary import Index, Keyer
+from idsets.operators.dictionary import Index, Keyer, dense_ids
 from idsets.operators.idset import IdSet
 from idsets.operators.ring import Ring, balance, max_share, remapped, shard_owners
 from idsets.operators.sharding import Shape, ShardedSet
 from idsets.plans import planner
-from idsets.plans.storage import scratch
+from idsets.plans.storage import scratch, written
 from idsets.sources import catalog, setfile, text
 
 SQL: dict[str, str] = {}
@@ -24,16 +24,16 @@ _URGENT = "SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderpriority =
 _LARGE = "SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_totalprice >= 100000"
 _RETURNED = "SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R'"
 _THREE = f"{_URGENT} INTERSECT {_LARGE} INTERSECT {_RETURNED}"
-#: The shape of the sharded queries (its universe grows with greater ids), the nodes of the ring and the phrase's place: parameters.
+#: The least shape of the sharded queries (its universe grows with greater ids), the nodes of the ring and the phrase's place: parameters.
 SHAPE = Shape(1 << 20, 8)
 NODES = ("node-a", "node-b", "node-c")
 
 
-def query(sql: str | None):
+def query(text: str | None):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
+        if text is not None:
+            SQL[f.__name__] = text
         return f
 
     return add
@@ -153,6 +153,50 @@ def catalog_intersect(spark, sf_dir):
     return own.intersect(["urgent", "returned"]).df
 
 
+def _catalog(spark, sf_dir) -> catalog.Catalog:
+    own = catalog.Catalog(spark, scratch(spark, "catalog"))
+    for name, s in facets(spark, sf_dir).items():
+        own.put(name, s)
+    return own
+
+
+@query(f"SELECT id FROM ({_URGENT} UNION {_RETURNED})")
+def catalog_union(spark, sf_dir):
+    return _catalog(spark, sf_dir).union(["urgent", "returned"]).df
+
+
+@query(f"SELECT id FROM ({_LARGE} EXCEPT {_RETURNED})")
+def catalog_difference(spark, sf_dir):
+    return _catalog(spark, sf_dir).difference(["large", "returned"]).df
+
+
+@query(f"SELECT set_name, count(*) AS members FROM ({_LONG}) WHERE set_name <> 'large' GROUP BY set_name")
+def catalog_drop(spark, sf_dir):
+    """A name is dropped, another put over itself, and the rest listed from the catalog's folder."""
+    own = _catalog(spark, sf_dir)
+    own.drop("large")
+    own.put("urgent", own.get("urgent"))
+    return own.list()
+
+
+@query(f"SELECT id, id IN (SELECT id FROM ({_URGENT})) AS member FROM (SELECT unnest([0, 1, 2, 3, -1])::BIGINT AS id)")
+def catalog_has(spark, sf_dir):
+    own = _catalog(spark, sf_dir)
+    return spark.createDataFrame([(i, own.has("urgent", i % (1 << 64))) for i in (0, 1, 2, 3, -1)], "id bigint, member boolean")
+
+
+@query(f"SELECT (row_number() OVER (ORDER BY id) - 1)::BIGINT AS place, id FROM ({_LARGE})")
+def set_ordered(spark, sf_dir):
+    """The ids with their places in the order, sorted in ranges."""
+    return dense_ids(facets(spark, sf_dir)["large"].df, "id", name="place").select("place", "id")
+
+
+@query(f"SELECT id::VARCHAR AS text FROM ({_LARGE}) UNION ALL SELECT '18446744073709551615'")
+def exported_ids(spark, sf_dir):
+    own = facets(spark, sf_dir)["large"].add((1 << 64) - 1)
+    return own.df.select(unsigned.shown(F.col("id")).cast("string").alias("text"))
+
+
 # hashes
 
 _HUGE = "18446744073709551616::HUGEINT"
@@ -175,6 +219,14 @@ def collision_rate(spark, sf_dir):
     return names.agg(F.count("*").alias("terms"), (F.count("*") - F.countDistinct(hashing.positional_id(F.col("term")))).alias("collisions"))
 
 
+@query(f"SELECT term, ({_positional('term')})::DECIMAL(20,0)::VARCHAR AS id FROM (SELECT DISTINCT p_name AS term FROM part)")
+def sql_positional_id(spark, sf_dir):
+    """By the functions for SQL."""
+    sql.register(spark)
+    read(spark, sf_dir, "part").createOrReplaceTempView("idsets_part")
+    return spark.sql("SELECT term, id_text(positional_id(term)) AS id FROM (SELECT DISTINCT p_name AS term FROM idsets_part)")
+
+
 # dictionaries
 
 _KEYER = "SELECT term, (row_number() OVER (ORDER BY first) - 1)::BIGINT AS id FROM (SELECT p_name AS term, min(p_partkey) AS first FROM part GROUP BY p_name)"
@@ -217,6 +269,12 @@ def keyer_terms(spark, sf_dir):
     return _keyer(spark, sf_dir).terms(spark.range(0, 100, 7)).select("id", "term")
 
 
+@query(f"SELECT count(*) AS terms, sum(strlen(term) + 8)::BIGINT AS bytes, 8.0 * sum(strlen(term) + 8) / count(*) AS bits_per_term, count(*) - count(DISTINCT {_positional('term')}) AS collisions FROM ({_KEYER})")
+def keyer_sizes(spark, sf_dir):
+    """What a dictionary holds, and how many of its terms a positional hash would confuse."""
+    return _keyer(spark, sf_dir).sizes()
+
+
 _DENSE = "SELECT key, (row_number() OVER (ORDER BY first, key) - 1)::BIGINT AS dense_id FROM (SELECT user_id AS key, min(event_id) AS first FROM events GROUP BY user_id)"
 
 
@@ -231,9 +289,40 @@ def index_lookup(spark, sf_dir):
     return own.lookup(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")))
 
 
+@query(f"SELECT (SELECT count(*) FROM ({_KEYER})) AS terms, (SELECT count(*) FROM ({_DENSE})) AS keys, (SELECT count(*) FROM part) AS entries")
+def dictionary_lengths(spark, sf_dir):
+    index = Index.build(read(spark, sf_dir, "events").select(F.col("event_id").alias("ordinal"), F.col("user_id").alias("key")))
+    return spark.createDataFrame([(len(_keyer(spark, sf_dir)), len(index), len(_synonyms(spark, sf_dir)))], "terms bigint, keys bigint, entries bigint")
+
+
 # bitmaps and plans
 
 
+@query(f"SELECT event_id, user_id, user_id IN ({_RETURNED}) AS member FROM events")
+def bit_test(spark, sf_dir):
+    """Ids tested against a set's bitmap."""
+    own = bitmaps.construct(facets(spark, sf_dir)["returned"].df)
+    return bitmaps.members(own, read(spark, sf_dir, "events").select("event_id", "user_id"), "user_id")
+
+
+@query(f"SELECT count(*) AS n FROM ({_URGENT} INTERSECT {_RETURNED})")
+def word_range_count(spark, sf_dir):
+    """Two sets as ranges of words in stored partitions."""
+    f = facets(spark, sf_dir)
+    a, b = (written(bitmaps.word_ranges(f[n].df, 4), "word_ranges") for n in ("urgent", "returned"))
+    return bitmaps.count_words(bitmaps.and_words(a, b))
+
+
+_STEPS = (1, 3, 10, 100, 1000)
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS step, count(*) AS n FROM ({_RETURNED}) WHERE id % {k} = 0" for k in _STEPS))
+def sparse_sweep(spark, sf_dir):
+    """A set against ever sparser ones, from one scan of it: the ids that each step divides."""
+    own = facets(spark, sf_dir)["returned"].df
+    return own.select(F.explode(F.filter(F.array(*map(F.lit, _STEPS)), lambda k: F.col("id") % k == 0)).alias("step")).groupBy("step").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT id FROM ({_THREE})")
 def dense_intersect(spark, sf_dir):
     f = facets(spark, sf_dir)
@@ -285,13 +374,26 @@ def word_counts(spark, sf_dir):
 
 # shards
 
-_BITS = SHAPE.bits
-_COUNTS = f"SELECT s.shard AS shard, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range({SHAPE.shards}))::INT AS shard) s LEFT JOIN (SELECT (id // {_BITS})::INT AS shard, count(*) AS n FROM ({_RETURNED}) WHERE id < {_BITS * SHAPE.shards} GROUP BY 1) c ON s.shard = c.shard"
-_MODES = f"SELECT shard, n, CASE WHEN n < {SHAPE.sparse_below} THEN 'sparse' ELSE 'dense' END AS mode FROM ({_COUNTS})"
+
+
+def _width(every: str) -> str:
+    """The ids of a shard: the universe reaches to the greatest id of every set in the query, and is SHAPE's at least."""
+    return f"((greatest({SHAPE.universe}, coalesce((SELECT max(id) FROM ({every})), 0) + 1) + {SHAPE.shards - 1}) // {SHAPE.shards})"
+
+
+def _counts(own: str, every: str) -> str:
+    return f"SELECT s.shard AS shard, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range({SHAPE.shards}))::INT AS shard) s LEFT JOIN (SELECT (id // {_width(every)})::INT AS shard, count(*) AS n FROM ({own}) GROUP BY 1) c ON s.shard = c.shard"
+
+
+def _modes(own: str, every: str) -> str:
+    return f"SELECT shard, n, CASE WHEN n < {_width(every)} // 64 THEN 'sparse' ELSE 'dense' END AS mode FROM ({_counts(own, every)})"
+
+
+_BOTH = f"{_URGENT} UNION {_RETURNED}"
 
 
 def sharded(*sets: IdSet) -> list[ShardedSet]:
-    """The sets over SHAPE's shards, whose universe reaches to the greatest id of all of them where that is beyond SHAPE's; the SQL holds for SHAPE's own universe."""
+    """The sets over SHAPE's shards, whose universe reaches to the greatest id of all of them where that is beyond SHAPE's."""
     every = sets[0].df
     for s in sets[1:]:
         every = every.unionByName(s.df)
@@ -300,28 +402,44 @@ def sharded(*sets: IdSet) -> list[ShardedSet]:
     return [ShardedSet(s, shape) for s in sets]
 
 
-@query(_COUNTS)
+@query(_counts(_RETURNED, _RETURNED))
 def shard_counts(spark, sf_dir):
     return sharded(facets(spark, sf_dir)["returned"])[0].counts()
 
 
-@query(_MODES)
+@query(_modes(_RETURNED, _RETURNED))
 def shard_modes(spark, sf_dir):
     return sharded(facets(spark, sf_dir)["returned"])[0].modes()
 
 
-@query(f"SELECT shard, mode, (CASE WHEN mode = 'sparse' THEN n * 8 ELSE {-(-_BITS // 64) * 8} END)::BIGINT AS bytes FROM ({_MODES})")
+@query(f"SELECT shard, mode, (CASE WHEN mode = 'sparse' THEN n * 8 ELSE ({_width(_RETURNED)} + 63) // 64 * 8 END)::BIGINT AS bytes FROM ({_modes(_RETURNED, _RETURNED)})")
 def shard_bytes(spark, sf_dir):
     return sharded(facets(spark, sf_dir)["returned"])[0].bytes()
 
 
-@query(f"SELECT count(*) AS n FROM ({_URGENT} INTERSECT {_RETURNED}) WHERE id < {_BITS * SHAPE.shards}")
+@query(f"SELECT count(*) AS n FROM ({_URGENT} INTERSECT {_RETURNED})")
 def shard_intersect_count(spark, sf_dir):
     f = facets(spark, sf_dir)
     urgent, returned = sharded(f["urgent"], f["returned"])
     return urgent.intersect_count(returned)
 
 
+@query(
+    f"SELECT shard, a.mode || '-' || b.mode AS modes, n FROM (SELECT (id // {_width(_BOTH)})::INT AS shard, count(*) AS n FROM ({_URGENT} INTERSECT {_RETURNED}) GROUP BY 1) "
+    f"JOIN (SELECT shard, mode FROM ({_modes(_URGENT, _BOTH)})) a USING (shard) JOIN (SELECT shard, mode FROM ({_modes(_RETURNED, _BOTH)})) b USING (shard)"
+)
+def shard_counts_by_mode(spark, sf_dir):
+    f = facets(spark, sf_dir)
+    urgent, returned = sharded(f["urgent"], f["returned"])
+    return urgent.intersect_counts_by_mode(returned)
+
+
+@query(f"SELECT id, id IN ({_RETURNED}) AS member FROM (SELECT unnest([0, 1, 5, 4096, 1099511627776, -1])::BIGINT AS id)")
+def sharded_has(spark, sf_dir):
+    own = sharded(facets(spark, sf_dir)["returned"])[0]
+    return spark.createDataFrame([(i, own.has(i % (1 << 64))) for i in (0, 1, 5, 4096, 1 << 40, -1)], "id bigint, member boolean")
+
+
 # ring
 
 
@@ -342,6 +460,14 @@ def _customers(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
 
 
+@query(_owners(_RING))
+def sql_ring_owner(spark, sf_dir):
+    """By the functions for SQL."""
+    sql.register_ring(spark, "idsets_owner", _RING)
+    _customers(spark, sf_dir).createOrReplaceTempView("idsets_customers")
+    return spark.sql("SELECT id, idsets_owner(id) AS owner FROM idsets_customers")
+
+
 @query(_owners(_RING))
 def ring_route(spark, sf_dir):
     return _RING.route(_customers(spark, sf_dir))
@@ -409,6 +535,11 @@ def normalised_terms(spark, sf_dir):
     return read(spark, sf_dir, "part").select(terms.normalised(F.col("p_type")).alias("term")).distinct()
 
 
+@query(r"SELECT DISTINCT nfc_normalize(p_type || ' cafe' || chr(769)) AS term FROM part")
+def composed_terms(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(terms.composed(F.concat("p_type", F.lit(" cafe\u0301"))).alias("term")).distinct()
+
+
 @query(f"SELECT doc_id AS id FROM documents WHERE contains(' ' || {_normal('text')} || ' ', ' of the ')")
 def phrase_match(spark, sf_dir):
     return terms.phrase_matches(read(spark, sf_dir, "documents"), "of  The").df
@@ -422,6 +553,17 @@ def shingle_postings(spark, sf_dir):
     return terms.shingles(read(spark, sf_dir, "part"), 2, "p_partkey", "p_name").groupBy("shingle").agg(F.countDistinct("id").alias("n"))
 
 
+_WINDOWS = "SELECT split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) FROM part WHERE p_partkey = 1"
+
+
+@query(f"SELECT DISTINCT id FROM ({_POSTINGS}) WHERE shingle IN ({_WINDOWS})")
+def window_candidates(spark, sf_dir):
+    """The parts with the first window of part 1's name."""
+    part = read(spark, sf_dir, "part")
+    first = part.filter("p_partkey = 1").select(F.concat_ws(" ", F.split("p_name", " ")[0], F.split("p_name", " ")[1])).first()
+    return terms.window_candidates(terms.shingles(part, 2, "p_partkey", "p_name"), [first[0]] if first else []).df
+
+
 @query(f"SELECT min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY {_normal('text')}")
 def context_dedup(spark, sf_dir):
     return terms.distinct_contexts(read(spark, sf_dir, "documents"))
@@ -430,14 +572,22 @@ def context_dedup(spark, sf_dir):
 # files
 
 
-@query(f"SELECT 'large' AS set_name, id FROM ({_LARGE})")
+@query(f"SELECT 'large' AS set_name, id, NULL::VARCHAR AS error FROM ({_LARGE}) UNION ALL SELECT 'returned', id, NULL FROM ({_RETURNED})")
 def set_file_round_trip(spark, sf_dir):
-    """The set's file is made of one row per file here, in the shared folder, and read back by executors."""
-    large = facets(spark, sf_dir)["large"]
-    path = scratch(spark, "setfile")
-    write_text = large.df.select(F.concat_ws(" ; ", "id", F.lit("")).alias("value"))
-    write_text.write.text(path)
-    return text.read_ids(spark, path, text.FAILFAST).df.select(F.lit("large").alias("set_name"), "id")
+    """Two portable set files, encoded by executors, and their folder read back by executors."""
+    path = scratch(spark, "setfiles")
+    for name in ("large", "returned"):
+        setfile.write_set(facets(spark, sf_dir)[name], f"{path}/{name}{setfile.SUFFIX}")
+    return setfile.read_files(spark, path)
+
+
+@query("SELECT trim(p_name) AS term, count(*) AS n FROM part WHERE p_size > 10 GROUP BY 1")
+def term_file(spark, sf_dir):
+    """A term file with blanks and comments, and the lines that are terms."""
+    path = scratch(spark, "terms")
+    line = F.when(F.col("p_size") > 10, F.concat(F.lit("  "), "p_name", F.lit(" "))).when(F.col("p_size") > 5, F.concat(F.lit("# "), "p_name")).otherwise(F.lit(" "))
+    read(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
+    return text.read_terms(spark, path).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query("SELECT unnest([1, 2, 3, -1, 40])::BIGINT AS id")

@@ -304,3 +304,79 @@ def test_command_line(spark, tmp_path, capsys):
     assert said("id", "casa").split() == ["casa", "3125458"]
     (tmp_path / "terms.txt").write_text("casa\nlar\ncasa\n")
     assert said("terms", "terms.txt").startswith("2 terms")
+
+
+def test_shards_of_unsigned_ids(spark):
+    ids = [0, 5, (1 << 63) - 1, 1 << 63, (1 << 64) - 1, 0xABCDEF0123456789]
+    for shards in (2, 3, 7):
+        shape = Shape(1 << 64, shards)
+        own = ShardedSet(of(spark, *ids), shape)
+        assert sorted((r.shard, r.id % (1 << 64)) for r in own.df.collect()) == sorted((i // shape.bits, i) for i in ids)
+        assert own.has((1 << 64) - 1) and not own.has(7)
+
+
+def test_counts_by_mode(spark):
+    for bits in (1 << 20, 1_000_003):
+        a = ShardedSet(IdSet(spark.range(10).union(spark.range(400_000, 460_000))), Shape(bits, 8))
+        b = ShardedSet(IdSet(spark.range(5, 200).union(spark.range(400_000, 460_000, 2))), Shape(bits, 8))
+        plain = {r.shard: r.n for r in a.intersect_counts(b).collect()}
+        by_mode = a.intersect_counts_by_mode(b).collect()
+        assert {r.shard: r.n for r in by_mode} == plain
+        assert {r["modes"] for r in by_mode} == {"sparse-sparse", "dense-dense"}
+
+
+def test_bit_test(spark):
+    own = bitmaps.construct(of(spark, 0, 1, 9, 32_767, 32_768, 32_769, 70_000).df)
+    probes = spark.createDataFrame([(i,) for i in (0, 1, 2, 9, 10, 32_767, 32_768, 32_769, 32_770, 70_000, 1 << 40)], "id bigint")
+    assert sorted(r.id for r in bitmaps.members(own, probes).filter("member").collect()) == [0, 1, 9, 32_767, 32_768, 32_769, 70_000]
+
+
+def test_repeats_go_only_where_they_matter(spark):
+    twice = spark.createDataFrame([(k % 5,) for k in range(20)], "id bigint")
+    a, b = IdSet.from_column(twice), IdSet(spark.range(3, 9))
+    assert sorted(a.intersect(b).ids()) == sorted(b.intersect(a).ids()) == [3, 4]
+    assert a.intersect(IdSet.from_column(twice)).count() == 5 and a.union(b, a).count() == 9 and sorted(b.difference(a).ids()) == [5, 6, 7, 8]
+    assert "Aggregate" not in b.intersect(a).df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_set_file_of_many_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(setfile, "BLOCK", 100)
+    ids = [k * k + (k % 3 << 62) for k in range(5000)] + [(1 << 64) - 1]
+    setfile.write_set(of(spark, *ids), str(tmp_path / "many.sxset"))
+    assert setfile.decode((tmp_path / "many.sxset").read_bytes()).tolist() == sorted(set(ids))
+    assert setfile.read_set(spark, str(tmp_path / "many.sxset")).count() == len(set(ids))
+
+
+def test_catalog_names_and_puts(spark, tmp_path):
+    own = Catalog(spark, str(tmp_path / "sets"))
+    assert own.table().count() == 0
+    for name in ("é ü%", "_x", "001"):
+        own.put(name, of(spark, 1, 2))
+    own.put("001", own.get("001").add(7))
+    assert own.names() == sorted(["é ü%", "_x", "001"])
+    assert {(r.set_name, r.members) for r in own.list().collect()} == {("é ü%", 2), ("_x", 2), ("001", 3)}
+    assert [p.name for p in (tmp_path / "sets").iterdir() if p.name.startswith(".new") or p.name.startswith(".old")] == []
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from idsets.plans.storage import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None)))
+
+
+def test_functions_for_sql(spark):
+    from idsets.functions import sql
+    from idsets.operators.ring import Ring
+
+    sql.register(spark)
+    assert spark.sql("SELECT positional_id('casa') AS a, positional_id('') AS b, positional_id(NULL) AS c, id_text(-1) AS d").first() == (3125458, 0, None, str((1 << 64) - 1))
+    ring = Ring(["a", "b", "c"])
+    sql.register_ring(spark, "owner_of", ring)
+    sql.register_ring(spark, "nobody", Ring([]))
+    rows = spark.sql("SELECT id, owner_of(id) AS owner, nobody(id) AS none FROM range(300)").collect()
+    assert all(r.owner == ring.owner(r.id) and r.none is None for r in rows)
