@@ -7,11 +7,12 @@ token, the rarest, is enough to find it: document frequencies of all tokens are
 looked up by its rarest token only. The token's place in the window gives the one place where the window can
 start; length and position bounds drop starts before the first and ends after the last word; then the words are compared exactly.
 
-Items are taken in blocks of bounded size, each broadcast in turn, whatever the benchmark's size.
+A benchmark of up to BLOCK_BYTES of text is broadcast, with its windows. A larger one stays in tables: the windows are made by executors, join the tokens' frequencies for their
+prefixes, and meet the documents' windows around prefix tokens by a shuffled join on the window's hash and words. Only a table of bits of bounded size is broadcast then, which lets the documents leave out most other tokens.
 
 Null and empty texts have no words and no hits; an item without words matches nothing; repeated rows each get their
 result; items of one id, or of a null one (which has the empty id), count once in `items`; an empty table of documents gives no rows, an empty
-benchmark no hits; other columns play no part.
+benchmark no hits; of equally rare tokens the least by hash counts, which changes no result; a long text is one step, with some 40 bytes for each of its own; other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, powers, slices, text_bytes, written
+from idsets.operators import bitmaps
 
-#: Bytes of item texts in a block.
-BLOCK_BYTES = 8 << 20
+from .common import aside, discard, powers, slices, text_bytes, written
+
+#: Characters of item texts that may be broadcast.
+BLOCK_BYTES = 2 << 20
+#: The bits that tell most tokens which aren't wanted, as a power of two.
+FILTER = 26
 SHINGLE = 3
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -150,8 +155,8 @@ def _counts(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
 
     out = np.zeros(len(keys), np.int64)
     if len(keys):
-        for r in docs.select("text").mapInArrow(apply, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():  # a row for each token of the block at most
-            out[r.token] = r.n
+        found = docs.select("text").mapInArrow(apply, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # a row for each token of the block at most
+        out[found.column("token").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
@@ -198,29 +203,112 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+class Bits:
+    """Membership of hashes in a table of 2 ** FILTER bits: no wanted hash is missed, and few others pass."""
+
+    def __init__(self, tokens: DataFrame):
+        """tokens: (token). At most 2 ** FILTER bits come to the driver."""
+        place = (F.shiftrightunsigned("token", 64 - FILTER) + 1).alias("id")
+        self.bits = np.zeros(1 << FILTER >> 3, np.uint8)
+        for r in bitmaps.construct(tokens.select(place)).collect():
+            at = (r.bucket - 1) * bitmaps.SPAN >> 3
+            self.bits[at : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)[: len(self.bits) - at]
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes >> np.uint64(64 - FILTER)).astype(np.int64)
+        return np.flatnonzero(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+
+
+def _window_rows(size: int):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 18):
+                found = windows_of(list(zip(batch.column("item").to_pylist(), batch.column("text").to_pylist())), size)
+                names = batch.column("item").take(pa.array(found["item"]))
+                yield pa.RecordBatch.from_arrays([names, pa.array(found["text"], pa.binary()), pa.array(found["length"]), pa.array([t.view(np.int64) for t in found["tokens"]], pa.list_(pa.int64()))], ["item", "words", "length", "tokens"])
+
+    return apply
+
+
+def _by_join(rows: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """rows (with text, spans and items) with the hits of any number of items."""
+    windows = written(items.mapInArrow(_window_rows(size), "item string, words binary, length bigint, tokens array<bigint>"), "windows")
+    different = written(windows.groupBy("words", "length").agg(F.min("tokens").alias("tokens")), "different_windows")
+    tokens = written(different.select(F.explode("tokens").alias("token")).distinct(), "window_tokens")
+    spark = rows.sparkSession
+    known = spark.sparkContext.broadcast(Bits(tokens))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                words = Words(*text_bytes(batch.column("text")))
+                text, ends, found = words.text_of(), words.firsts[1:], []
+                for n in (SHINGLE, 1):
+                    hashes = words.shingles(n)
+                    at = known.value.places(hashes)
+                    at = at[at + n <= ends[text[at]]]
+                    order = np.lexsort((hashes[at], text[at]))
+                    at = at[order]
+                    new = np.append(True, (text[at][1:] != text[at][:-1]) | (hashes[at][1:] != hashes[at][:-1]))[: len(at)]
+                    found.append(hashes[at[new]])
+                token, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+
+    frequency = rows.select("text").mapInArrow(counted, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).join(tokens, "token", "left_semi")
+    each = different.select("words", F.explode("tokens").alias("token")).join(frequency, "token", "left")
+    prefix = each.groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("p")).select("p.token").distinct()
+    rare = spark.sparkContext.broadcast(Bits(prefix))
+    lengths = sorted(r.length for r in different.select("length").distinct().collect())  # at most `size` rows
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                words = Words(*text_bytes(batch.column("text")))
+                text, ends = words.text_of(), words.firsts
+                for n in lengths:
+                    token = SHINGLE if n >= SHINGLE else 1
+                    at = rare.value.places(words.shingles(token))
+                    start = np.unique((at[:, None] - np.arange(n - token + 1)).ravel())
+                    start = start[(start >= 0) & (start + n <= len(text))]
+                    start = start[start + n <= ends[1:][text[start]]]
+                    own = pa.array(text[start])
+                    first = start - ends[:-1][text[start]]
+                    yield pa.RecordBatch.from_arrays([batch.column("k1").take(own), batch.column("k2").take(own), pa.array([words.joined(k, n) for k in start.tolist()], pa.binary()), pa.array(first), pa.array(first + n)], ["k1", "k2", "words", "first", "end"])
+
+    keyed = rows.select(*(c for c in rows.columns if c not in ("n_words", "spans", "items")), *(F.xxhash64(F.lit(k), F.coalesce("text", F.lit(""))).alias(f"k{k}") for k in (1, 2)))
+    candidates = keyed.select("k1", "k2", "text").mapInArrow(around, "k1 bigint, k2 bigint, words binary, first bigint, end bigint")
+    hits = written(candidates.distinct().join(different.select("words"), "words", "left_semi"), "window_hits")
+    spans = hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    held = hits.select("k1", "k2", "words").distinct().join(windows.select("words", "item").distinct(), "words").groupBy("k1", "k2").agg(F.collect_set("item").alias("items"))
+    found = written(spans.join(held, ["k1", "k2"]), "contamination")
+    discard(windows, different, tokens, hits)
+    out = keyed.join(found, ["k1", "k2"], "left").drop("k1", "k2")
+    names = rows.columns
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                n = np.diff(Words(*text_bytes(batch.column("text"))).firsts)
+                columns = {c: batch.column(c) for c in names if c != "n_words"}
+                own = [[{"first": a, "end": b} for a, b in union([(s["first"], s["end"]) for s in x or ()])] for x in batch.column("spans").to_pylist()]
+                columns |= {"n_words": pa.array(n, pa.int64()), "spans": pa.array(own, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), "items": pa.array([sorted(x or ()) for x in batch.column("items").to_pylist()], pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    return out.select(*(c for c in names if c != "n_words")).mapInArrow(merged, rows.schema)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, columns: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`columns` of each row, with n_words, spans (of hit words: first and end) and items (ids with occurring windows)."""
-    spark = docs.sparkSession
     names = {c: "text" if c == "text" else f"c{k}" for k, c in enumerate(columns)}
     rows = docs.select(*(F.col(c).alias(n) for c, n in names.items() if c != "text"), "text", F.lit(0).cast("bigint").alias("n_words"), F.expr("CAST(array() AS array<struct<first:bigint,end:bigint>>)").alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items"))
-
-    def blocks() -> Iterator[list[tuple[str, str]]]:
-        own, held = [], 0
-        for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").filter("text IS NOT NULL").toLocalIterator():
-            own.append((r.item, r.text))
-            held += len(r.text)
-            if held >= block_bytes:
-                yield own
-                own, held = [], 0
-        if own:
-            yield own
-
-    out = None
-    for items in blocks():
-        out = rows if out is None else written(out, "contamination")  # between blocks: one block in memory at a time
-        block = windows_of(items, size)
-        out = _probe(out, rare_first(block, _counts(docs, block["keys"])), [i for i, _ in items])
-    out = _probe(rows, rare_first(windows_of([], size), np.zeros(0, np.int64)), []) if out is None else out
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").filter("text IS NOT NULL")
+    length, count = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)), F.count("*")).first()
+    if length + 16 * count > block_bytes:
+        out = _by_join(rows, items, size)
+    else:
+        own = [(r.item, r.text) for r in items.collect()]  # as checked, at most block_bytes
+        block = windows_of(own, size)
+        out = _probe(rows, rare_first(block, _counts(docs, block["keys"])), [i for i, _ in own])
     return out.select(*(F.col(n).alias(c) for c, n in names.items()), "n_words", "spans", "items")
 
 
