@@ -226,7 +226,7 @@ def dealt(rows: DataFrame, depth: int, blocks: int, budget: int) -> tuple[DataFr
 
 
 def links(classes: DataFrame, count: int, budget: int = 3, hot: int = 4096) -> DataFrame:
-    """(a, b) links that connect all fp of classes within the budget; classes has each fp once, count of them.
+    """(a, b): pairs that connect what links within the budget connect, in each node all with the first of a linked set; classes has each fp once, count of them.
 
     A node of over `hot` fingerprints is dealt out anew by more bits, until few are left; a node whose free bits can't hold more than that is never too large.
     """
@@ -251,8 +251,9 @@ def links(classes: DataFrame, count: int, budget: int = 3, hot: int = 4096) -> D
             starts = _group_starts(rows, ("path",))
             spans = np.stack([starts[:-1], starts[1:], starts[:-1], starts[1:]], 1)
             fp = rows.column("fp").to_numpy()
-            _, found = linked(rows.column("key").to_numpy().view(np.uint64).reshape(-1, 1), spans, 0, budget)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[found[:, 0]]), pa.array(fp[found[:, 1]])], ["a", "b"])
+            label, _ = linked(rows.column("key").to_numpy().view(np.uint64).reshape(-1, 1), spans, 0, budget)
+            own = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(fp[label[own]])], ["a", "b"])
 
     nodes = reduce(DataFrame.unionByName, (r.select("path", "key", "fp") for r in ready))
     out = nodes.repartition("path").sortWithinPartitions("path", F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).mapInArrow(apply, "a bigint, b bigint")
@@ -450,7 +451,10 @@ def candidates(marked: DataFrame, hot: int = HOT_BAND) -> DataFrame:
             node, label = rows.column("node").to_numpy(), None
             for budget in BUDGETS:
                 label, found = linked(keys, spans, 0, budget, label)
-                yield pa.RecordBatch.from_arrays([pa.array(node[found.min(1)]), pa.array(node[found.max(1)]), pa.array(np.full(len(found), budget == BUDGETS[0]))], ["a", "b", "near"])
+                if budget == BUDGETS[0]:  # no pair of these is looked at again: each goes to the first of its set
+                    own = np.flatnonzero(label != np.arange(len(label)))
+                    found = np.stack([own, label[own]], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]]), pa.array(np.full(len(found), budget == BUDGETS[0]))], ["a", "b", "near"])
 
     found = ready.repartition(*by).sortWithinPartitions(*by, "side", "wide").mapInArrow(apply, "a bigint, b bigint, near boolean")
     out = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "near").groupBy("a", "b").agg(F.max("near").alias("near")), "candidates")
@@ -462,14 +466,16 @@ def _roots(docs: DataFrame, words: int, least: float) -> DataFrame:
     """doc_id, node and root of each row: the least node of the node's component."""
     marked = written(_marks(docs, words), "marks")
     found = candidates(marked)
-    near = found.filter("near").select("a", "b")
-    roots = components(near)
+    roots = components(found.filter("near").select("a", "b"))
     side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    open_links = found.filter("NOT near").join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    checked = _checked(written(open_links.select("a", "b"), "open_links"), docs, words, least)
-    roots = components(near.unionByName(checked))
-    out = written(marked.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "roots")
-    discard(marked, found, checked)
+    rest = found.filter("NOT near").select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = written(rest.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")).filter("root_a <> root_b"), "open_links")
+    checked = _checked(rest.select("a", "b"), docs, words, least)
+    tops = components(rest.join(checked, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    own = marked.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("near_root"))
+    own = own.join(tops.select(F.col("node").alias("near_root"), F.col("root").alias("top")), "near_root", "left")
+    out = written(own.select("doc_id", "node", F.coalesce("top", "near_root").alias("root")), "roots")
+    discard(marked, found, rest, checked)
     return out
 
 
