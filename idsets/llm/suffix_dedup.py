@@ -294,9 +294,10 @@ def repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
         found.append(_of_hot(deep, length, hot, WIDTHS))
     # one row for each context, so that a run meets one row at most, whatever its copies
     shifted = F.transform("ranges", lambda r: F.struct((r["first"] + F.col("first")).alias("first"), r["n"].alias("n")))
-    spans = every.join(_united(found), ["anchor", "context"]).select("k1", "k2", shifted.alias("spans"))
+    ranges = written(_united(found), "context_ranges")  # a table, so that the join can split a context that very many runs have
+    spans = every.join(ranges, ["anchor", "context"]).select("k1", "k2", shifted.alias("spans"))
     out = written(spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans")), "repeats")
-    discard(every, classes, contexts, *found)
+    discard(every, classes, contexts, ranges, *found)
     return out
 
 
