@@ -43,7 +43,7 @@ PIECE = 1 << 20
 STAGE_WORDS, STAGE_LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Words of the stage's fingerprints; the differing bits up to which links count, the first without a check.
-WIDE, BUDGETS = 16, (120, 136, 150, 164, 184)
+WIDE, BUDGETS = 16, (120, 128, 136, 144, 150, 156, 162, 168, 176, 184)
 #: Texts that share a band beyond which they must share two.
 HOT_BAND = 4096
 _RANDOM = np.random.default_rng(7)

@@ -36,7 +36,7 @@ BATCH = 1 << 20
 HOT = 1 << 20
 WIDTHS = (48, 6, 1)
 #: Bytes of a repeated string in the pipeline's stage.
-STAGE_LENGTH = 200
+STAGE_LENGTH = 256
 #: Bytes of a text that are looked at together, and contexts that are cut out together.
 PIECE, CUT = 1 << 20, 1 << 13
 _UNSET = np.uint16(0xFFFF)

@@ -9,8 +9,8 @@ The tokenizer works once on each different chunk of a worker's texts. Chunks end
 letters (or Latin-1 ones) and ASCII punctuation but the apostrophe, where its own splitting always cuts; texts that
 hold a special token's string split at white space alone.
 
-Null and empty texts give the end id alone; repeated rows and rows of one doc_id each keep their place (in text order); a null
-doc_id comes first; a table without rows gives files without rows; other columns play no part.
+Null and empty texts give the end id alone; repeated rows and rows of one doc_id each keep their place (by the text's hash, then the text); a null
+doc_id comes first; a row has all ids of its text, so a text may have up to 2 ** 31 of them; a table without rows gives files without rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from .chunks import FlatCache, coded, ragged
 from .common import scratch, slices, text_bytes, worker_state
 
-SCHEMA = "part int, doc_id bigint, part_start bigint, n_tokens bigint, ids array<int>"
 #: Entries a worker keeps; see FlatCache.
 CACHE = 2_000_000
 #: Bytes of text that a step handles at once.
@@ -164,7 +163,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     # the hash deals out the rows of a doc_id that many rows share
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     (
-        ordered.mapInArrow(apply, SCHEMA)
+        ordered.mapInArrow(apply, f"part int, doc_id {dict(docs.dtypes)['doc_id']}, part_start bigint, n_tokens bigint, ids array<int>")
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "1000")
@@ -175,13 +174,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids of each document."""
-    rows = spark.read.schema(SCHEMA).orc(path)
+    rows = spark.read.orc(path)
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     # a row for each file
     return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
+def lookup(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
+    """doc_id, n_tokens and ids of some documents: the filter reaches the ORC reader, which skips stripes by their Bloom filters and row groups by their indexes."""
+    return spark.read.orc(path).filter(F.col("doc_id").isin(doc_ids)).select("doc_id", "n_tokens", "ids")
+
+
 def with_crc32(tokens: DataFrame) -> DataFrame:
     """tokens without the ids, but with ids_crc32 of them as little-endian unsigned 32-bit integers."""
 
@@ -193,7 +197,7 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(apply, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(apply, f"doc_id {dict(tokens.dtypes)['doc_id']}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
