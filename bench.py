@@ -1,9 +1,14 @@
-"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line: the best of three runs of each, after one to warm up."""
+"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line: the best of three runs of each, after one to warm up.
+
+Then each query at a tenth of that size, if there is such a folder beside it: `slope` is the power of the input by which its time grows, so 0 is a fixed cost and 1 in proportion.
+"""
 
 from __future__ import annotations
 
 import json
+import math
 import os
+import re
 import time
 
 from pyspark.sql import SparkSession
@@ -29,17 +34,27 @@ def main() -> None:
     from idsets.queries import queries
 
     own = queries()
-    times = {}
-    for name in HEADLINE:
-        best = None
-        for k in range(4):
-            start = time.perf_counter()
-            own[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            took = time.perf_counter() - start
-            if k:
-                best = took if best is None else min(best, took)
-        times[name] = round(best, 3)
-    print(json.dumps({"metric": "headline queries, total of best times", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/"))}), flush=True)
+
+    def timed(where: str) -> dict[str, float]:
+        times = {}
+        for name in HEADLINE:
+            best = None
+            for k in range(4):
+                start = time.perf_counter()
+                own[name](spark, where).write.format("noop").mode("overwrite").save()
+                took = time.perf_counter() - start
+                if k:
+                    best = took if best is None else min(best, took)
+            times[name] = round(best, 3)
+        return times
+
+    times = timed(sf_dir)
+    out = {"metric": "headline queries, total of best times", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/"))}
+    smaller = re.sub(r"sf(0\.|)(\d+)$", lambda m: f"sf{float('0.' + m[2] if m[1] else m[2]) / 10:g}", sf_dir.rstrip("/"))
+    if smaller != sf_dir.rstrip("/") and os.path.isdir(smaller):
+        small = timed(smaller)
+        out |= {"smaller": os.path.basename(smaller), "smaller_queries": small, "slope": {n: round(math.log10(max(times[n], 1e-3) / max(small[n], 1e-3)), 2) for n in times}}
+    print(json.dumps(out), flush=True)
     spark.stop()
 
 

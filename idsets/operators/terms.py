@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,9 +61,12 @@ def shingles(docs: DataFrame, size: int, id_column: str = "doc_id", text: str =
 
 
 def phrase_matches(docs: DataFrame, phrase: str, id_column: str = "doc_id", text: str = "text") -> IdSet:
-    """The documents with the phrase's words in order: one scan, no index."""
+    """The documents with the phrase's words in order: one scan, no index. Texts are normalised only where they have all of the words."""
+    wanted = phrase.lower().split()
+    lower = F.lower(F.col(text))
+    some = reduce(lambda a, w: a & lower.contains(w), sorted(set(wanted), key=len, reverse=True), F.lit(True))
     words = F.concat(F.lit(" "), normalised(F.col(text)), F.lit(" "))
-    return IdSet.from_column(docs.filter(words.contains(f" {' '.join(phrase.lower().split())} ")), id_column)
+    return IdSet.from_column(docs.filter(some & words.contains(f" {' '.join(wanted)} ")), id_column)
 
 
 def window_candidates(postings: DataFrame, windows: list[str]) -> IdSet:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_left: dict[str, SparkSession] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset, the context's checkpoint folder, or on a local master a temporary one. Elsewhere it must be set."""
     sc = spark.sparkContext
@@ -20,7 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is there goes when the program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _left[path] = spark
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,5 +52,18 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for table in tables:
         if path := table.__dict__.pop("_scratch", None):
+            _left.pop(path, None)
             fs, where = file_system(table.sparkSession, path)
             fs.delete(where, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """Tables that results may still have read until now. Where the session has ended, only those on this machine can go."""
+    for path, spark in _left.items():
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                fs, where = file_system(spark, path)
+                fs.delete(where, True)
+            else:
+                shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
