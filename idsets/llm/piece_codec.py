@@ -6,7 +6,7 @@ of the prefix before it, is compatible: merging the texts of the two gives the t
 backwards from the last entry. Chunks split between characters that stand side by side in no piece. Runs of two or more marks are pieces of one same score, for which the table's
 uniqueness does not hold; a chunk that begins with such a run goes through plain merging.
 
-Null and empty texts have no ids and decode to the empty text; repeated rows each get their result; a table without
+Null and empty texts have no ids and decode to the empty text; of equal scores the leftmost pair merges first; a text of any length goes chunk by chunk; repeated rows each get their result; a table without
 rows gives none; columns beside doc_id and text play no part.
 """
 

@@ -9,7 +9,7 @@ scored over whole texts.
 
 Null and empty texts have zero statistics and the score of those; without labelled rows, or with one label alone, the score is the
 smoothed share of label 1; null labels teach nothing; repeated rows each get their result and repeated labels count each;
-a table without rows gives none; columns beside doc_id, text and quality play no part.
+a score of exactly the threshold counts as 1; a text's words are an array in one row, some 50 bytes for each word of a long one; a table without rows gives none; columns beside doc_id, text and quality play no part.
 """
 
 from __future__ import annotations

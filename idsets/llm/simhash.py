@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import aside, discard, release, slices, text_bytes, written
 from .decontaminate import Words, mix
@@ -385,7 +386,7 @@ def _marks(docs: DataFrame, words: int) -> DataFrame:
 
 def _with_node(docs: DataFrame, least: bool = False) -> DataFrame:
     """docs with each row's node. least: of a batch's rows of one node, only that with the least doc_id (nulls last), then text."""
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "node bigint"])
+    kinds = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema.fields), T.StructField("node", T.LongType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()

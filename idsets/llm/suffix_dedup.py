@@ -8,11 +8,11 @@ Contexts that occur twice repeat as a whole. An anchor with one occurrence repea
 with several contexts, goes to the Burrows-Wheeler transform of a batch of whole anchors: intervals of equal prefixes are
 extended backwards, breadth first, and each boundary of the suffix order gets its common prefix the first time an interval ends
 at it, so values come in increasing order. The expansion stops at `length`: the boundaries still without a value part suffixes that share as much, and
-only these are repeats. Anchors whose contexts are too many for a batch are compared window by window with hashes of 128 bits,
-summed before they are shuffled.
+only these are repeats. Contexts of an anchor that are too many for a batch are cut into parts by where the anchor stands in a window: the windows of a part all hold the bytes around the
+anchor that make its key, and parts of one key are contexts of that key, to be counted, transformed or cut finer. Parts of single windows end this, as counts settle them.
 
 Texts are UTF-8 bytes; null counts as empty. A text shorter than `length` loses nothing; repeated rows are copies of each other and lose all that such a
-window covers; overlapping copies within one text count too; rows without a doc_id take part as any other; a table without rows
+window covers, as no copy counts as the first; overlapping copies within one text count too; rows without a doc_id take part as any other; a long text is looked at by pieces of PIECE bytes; a table without rows
 gives none; other columns play no part.
 """
 

@@ -174,8 +174,11 @@ def test_simhash(corpus, hot, monkeypatch):
         assert (got[doc_id].fingerprint, got[doc_id].component_id) == (f"{expected[k]:016x}", rows[roots[k]][0])
 
 
-def test_one_of_each_finds_edited_copies(spark):
-    """Edits of one text in places spread over it, alike to 0.7 to 0.95 by five-word shingles, against all pairs."""
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_one_of_each_finds_edited_copies(spark, hot, monkeypatch):
+    """Edits of one text in places spread over it, alike to 0.7 to 0.95 by five-word shingles, against all pairs. With a small limit, bands are hot and so are pairs of bands."""
+    every = simhash.candidates
+    monkeypatch.setattr(simhash, "candidates", lambda marked: every(marked, hot))
     r = random.Random(12)
     texts = []
     for k in range(25):
