@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _left: dict[str, SparkSession] = {}
+_tables: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,9 +58,19 @@ def discard(*tables: DataFrame) -> None:
             fs.delete(where, True)
 
 
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A new name of a managed table, which is dropped when the program ends."""
+    table = f"idsets_{name}_{uuid.uuid4().hex}"
+    _tables[table] = spark
+    return table
+
+
 @atexit.register
 def _clean() -> None:
     """Tables that results may still have read until now. Where the session has ended, only those on this machine can go."""
+    for table, spark in _tables.items():
+        with contextlib.suppress(Exception):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
     for path, spark in _left.items():
         with contextlib.suppress(Exception):
             if spark.sparkContext._jsc is not None:

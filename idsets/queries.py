@@ -14,7 +14,7 @@ from idsets.operators.idset import IdSet
 from idsets.operators.ring import Ring, balance, max_share, remapped, shard_owners
 from idsets.operators.sharding import Shape, ShardedSet
 from idsets.plans import planner
-from idsets.plans.storage import scratch, written
+from idsets.plans.storage import scratch, scratch_table, written
 from idsets.sources import catalog, setfile, text
 
 SQL: dict[str, str] = {}
@@ -608,11 +608,9 @@ def json_ids(spark, sf_dir):
 @query(f"SELECT count(*) AS n FROM ({_URGENT} INTERSECT {_RETURNED})")
 def stored_intersect_count(spark, sf_dir):
     """Two tables bucketed alike: the join has no exchange."""
-    import uuid
-
     names = []
     for name in ("urgent", "returned"):
-        names.append(f"idsets_{name}_{uuid.uuid4().hex}")
+        names.append(scratch_table(spark, name))
         catalog.store_bucketed(facets(spark, sf_dir)[name], names[-1], 8)
     a, b = (IdSet(spark.table(n)) for n in names)
     return a.intersect_count(b)
