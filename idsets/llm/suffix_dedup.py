@@ -232,8 +232,8 @@ def _of_hot(contexts: DataFrame, length: int, hot: int, widths: tuple[int, ...])
     sizes = classes.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum(F.length("bytes")).alias("size")).filter("contexts > 1").select("anchor", (F.col("size") > hot).alias("hot"))
     mixed = classes.join(sizes, "anchor")
     found = [classes.filter("copies > 1").select("anchor", "context", _all()), _transformed(mixed.filter("NOT hot"), length)]
-    if len(widths) > 1 and not (deep := mixed.filter("hot")).isEmpty():
-        found.append(_of_hot(deep, length, hot, widths[1:]))
+    if len(widths) > 1 and not sizes.filter("hot").isEmpty():
+        found.append(_of_hot(mixed.filter("hot"), length, hot, widths[1:]))
     known = _united(found).select(F.col("anchor").alias("key"), F.col("context").alias("part"), "ranges")
     shifted = F.transform("ranges", lambda r: F.struct((r["first"] + F.col("first")).alias("first"), r["n"].alias("n")))
     out = written(parts.drop("bytes").join(known, ["key", "part"]).select("anchor", "context", shifted.alias("ranges")), "part_ranges")
@@ -289,9 +289,8 @@ def repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     contexts = written(contexts, "context_bytes")
     whole = classes.filter("copies > 1").select("anchor", "context", F.col("at.n").cast("bigint").alias("n")).select("anchor", "context", _all())
     found = [whole, _transformed(contexts.filter("NOT hot"), length)]
-    deep = contexts.filter("hot").dropDuplicates(["anchor", "context"])
-    if not deep.isEmpty():
-        found.append(_of_hot(deep, length, hot, WIDTHS))
+    if not (deep := contexts.filter("hot")).isEmpty():
+        found.append(_of_hot(deep.dropDuplicates(["anchor", "context"]), length, hot, WIDTHS))
     # one row for each context, so that a run meets one row at most, whatever its copies
     shifted = F.transform("ranges", lambda r: F.struct((r["first"] + F.col("first")).alias("first"), r["n"].alias("n")))
     ranges = written(_united(found), "context_ranges")  # a table, so that the join can split a context that very many runs have
