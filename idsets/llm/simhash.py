@@ -425,10 +425,11 @@ def _checked(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> Dat
 
 def candidates(marked: DataFrame, hot: int = HOT_BAND) -> DataFrame:
     """(a, b, near) links between nodes that share a band: a forest of each group's links within the budget, near ones first."""
-    nodes = marked.groupBy("node").agg(F.min("wide").alias("wide"), F.min("bands").alias("bands"))
-    banded = written(nodes.select("node", "wide", "bands", F.explode("bands").alias("band")), "bands")
+    nodes = written(marked.groupBy("node").agg(F.min("wide").alias("wide"), F.min("bands").alias("bands")), "nodes")
+    banded = written(nodes.select("node", F.explode("bands").alias("band")), "bands")
     sizes = written(banded.groupBy("band").count().filter("count > 1"), "band_sizes")
-    rows = banded.join(sizes, "band")
+    # fingerprints go along only with bands that are shared
+    rows = banded.join(sizes, "band").join(nodes, "node")
     ready = rows.filter(F.col("count") <= hot).select("band", "node", "wide", F.lit(0).alias("c0"), F.lit(0).alias("c1"), F.lit(0).alias("side"))
     if not sizes.filter(F.col("count") > hot).isEmpty():
         # what shares a band with too many others must share a second one, and what shares two with too many meets them in pairs of chunks
@@ -459,7 +460,7 @@ def candidates(marked: DataFrame, hot: int = HOT_BAND) -> DataFrame:
 
     found = ready.repartition(*by).sortWithinPartitions(*by, "side", "wide").mapInArrow(apply, "a bigint, b bigint, near boolean")
     out = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "near").groupBy("a", "b").agg(F.max("near").alias("near")), "candidates")
-    discard(banded, sizes)
+    discard(nodes, banded, sizes)
     return out
 
 
