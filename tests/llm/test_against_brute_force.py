@@ -274,3 +274,38 @@ def test_piece_codec(spark, corpus):
         ids = library.encode(text)
         assert (got[doc_id].n_tokens, got[doc_id].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert got[doc_id].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_one_of_each_loses_no_short_text(spark):
+    """Texts of 8 words and the same with a ninth, alike to exactly 0.8 by 4 of 5 shingles, differ in 192 of 1,024 bits in the mean: a fifth in over 201."""
+    r = random.Random(31)
+    texts = []
+    for _ in range(60):
+        words = [f"w{r.getrandbits(40):x}" for _ in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in simhash.alike_components(docs).collect()} == {k: k - k % 2 for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("hot", [8192, 2])
+def test_rest_of_misses_no_pair(spark, hot):
+    """Every pair alike to 0.8, with no band and no near link to help: random sets around the limit, of 1 to 300 shingles, that share frequent ones."""
+    r = np.random.default_rng(17)
+    common, sets = r.integers(0, 2**63, 30, dtype=np.uint64), []
+    for k in range(60):
+        whole = r.integers(0, 2**63, int(r.integers(1, 300)), dtype=np.uint64)
+        whole = np.unique(np.concatenate([whole, common[: k % 31]]))
+        for _ in range(3):
+            gone = int(round(len(whole) * r.uniform(0, 0.25)))
+            sets.append(np.unique(r.permutation(whole)[gone:]))
+    own, begin = np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets]))
+    first, count, rare = simhash.prefixes(own, begin, common, 0.8)
+    at = np.append(0, np.cumsum(count))
+    rows = [(k, k, len(x), first[at[k] : at[k + 1]].view(np.int64).tolist(), int(rare[k]), simhash.sketch_of(x)) for k, x in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node bigint, root bigint, shingles bigint, prefix array<bigint>, rare bigint, sketch binary")
+    label = np.arange(len(sets))
+    found = np.array([tuple(x) for x in simhash.rest_of(nodes, 0.8, hot).collect()])
+    list(simhash.unite(label, found[:, 0], found[:, 1]))
+    whole = [set(x.tolist()) for x in sets]
+    alike = [(a, b) for a in range(len(sets)) for b in range(a) if len(whole[a] & whole[b]) >= 0.8 * len(whole[a] | whole[b])]
+    assert len(alike) > 40 and all(label[a] == label[b] for a, b in alike)
