@@ -309,3 +309,22 @@ def test_rest_of_misses_no_pair(spark, hot):
     whole = [set(x.tolist()) for x in sets]
     alike = [(a, b) for a in range(len(sets)) for b in range(a) if len(whole[a] & whole[b]) >= 0.8 * len(whole[a] | whole[b])]
     assert len(alike) > 40 and all(label[a] == label[b] for a, b in alike)
+
+
+def test_a_passage_in_all_texts_joins_few_rows(spark, monkeypatch):
+    """A passage that 1,200 texts have: the table of runs, which the repeated ranges are joined to, has a row for each context of a slice, not for each of its places."""
+    r = random.Random(41)
+    passage = prose(r, 120)
+    docs = spark.createDataFrame([(k, f"{prose(r, 5)} {passage} {prose(r, 5)}") for k in range(1200)], "doc_id bigint, text string").repartition(3)
+    rows, keep = {}, suffix_dedup.written
+
+    def written(df, name):
+        out = keep(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", written)
+    got = suffix_dedup.dedup(docs, 100)
+    assert all(x.n_spans >= 1 and x.n_removed >= len(passage.encode()) - 2 for x in got.collect())
+    assert rows["repeats"] == 1200
+    assert rows["runs"] < 1200 * 6
