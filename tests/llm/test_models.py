@@ -265,3 +265,13 @@ def test_html_by_hand():
     }
     for source, want in pages.items():
         assert html_text.main_text(source, model) == want
+
+
+def test_inheritance_only_where_there_are_paths(spark):
+    """Without paths no stage looks for directories; with them, a document has the licence of the one above."""
+    docs = spark.createDataFrame([(1, "Released under the MIT License", "a/LICENSE"), (2, "plain words", "a/b/c.txt")], "doc_id bigint, text string, place string")
+    without, along = license_scan.document_licences(docs), license_scan.document_licences(docs, docs.place)
+    assert "regexp_extract" not in without._jdf.queryExecution().toString()
+    assert without.dtypes == along.dtypes
+    assert sorted((r.doc_id, r.licence, r.licence_from) for r in without.collect()) == [(1, "MIT", None), (2, None, None)]
+    assert sorted((r.doc_id, r.licence, r.licence_from) for r in along.collect()) == [(1, "MIT", None), (2, "MIT", "a")]
