@@ -328,3 +328,37 @@ def test_a_passage_in_all_texts_joins_few_rows(spark, monkeypatch):
     assert all(x.n_spans >= 1 and x.n_removed >= len(passage.encode()) - 2 for x in got.collect())
     assert rows["repeats"] == 1200
     assert rows["runs"] < 1200 * 6
+
+
+def rows_made(plan) -> list[int]:
+    """Rows that each node of a plan that has run gave out."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return rows_made(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return rows_made(plan.plan())
+    metrics, children = plan.metrics(), plan.children()
+    own = [metrics.get(k).get().value() for k in ("numOutputRows", "pythonNumRowsReceived") if metrics.contains(k)]
+    return own + [x for k in range(children.size()) for x in rows_made(children.apply(k))]
+
+
+def test_places_are_no_rows(spark, monkeypatch):
+    """1,200 texts with one passage of many runs: what becomes of the repeated ranges has a row for each context of a slice or for each text, never for each place. Copies and a text's own repeats are places too."""
+    r = random.Random(42)
+    passage, length = prose(r, 300), 60
+    texts = [f"{prose(r, 5)} {passage} {prose(r, 5)}" for _ in range(1190)]
+    texts += [texts[0]] * 8 + [f"{passage} {passage}"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    made, keep = [], suffix_dedup.written
+
+    def written(df, name):
+        if name == "repeats":
+            df.collect()
+            made.extend(rows_made(df._jdf.queryExecution().executedPlan()))
+        return keep(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "written", written)
+    got = suffix_dedup.dedup(docs, length)
+    assert all(x.n_spans >= 1 and x.n_removed >= len(passage.encode()) - 2 for x in got.collect())
+    runs = suffix_dedup.runs_of(np.array([0, len(passage.encode())]), np.frombuffer(passage.encode(), np.uint8), length)
+    places = len(texts) * (len(runs["n"]) - 2)
+    assert places > 20 * len(texts) and 1192 <= max(made) < places / 5
